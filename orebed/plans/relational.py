@@ -314,17 +314,17 @@ def summary_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("feature_join_default", f"""WITH {RATINGS},
-u AS (SELECT user_id, count(*) AS review_count, round(avg(stars), 6) AS average_stars FROM ratings WHERE user_id % 4 > 0 GROUP BY 1),
-b AS (SELECT business_id, count(*) AS business_reviews, round(avg(stars), 6) AS business_stars FROM ratings WHERE business_id % 5 > 0 GROUP BY 1),
+u AS (SELECT user_id, count(*) AS review_count, round(avg(stars), 6) AS average_stars FROM ratings WHERE dt < '1995-03-01' GROUP BY 1),
+b AS (SELECT business_id, count(*) AS business_reviews, round(avg(stars), 6) AS business_stars FROM ratings WHERE dt < '1995-01-03' GROUP BY 1),
 d AS (SELECT round(avg(stars), 6) AS mean FROM ratings)
 SELECT DISTINCT r.user_id, r.business_id, coalesce(review_count, 0) AS review_count, coalesce(average_stars, mean) AS average_stars,
   coalesce(business_reviews, 0) AS business_reviews, coalesce(business_stars, mean) AS business_stars
 FROM ratings r LEFT JOIN u USING (user_id) LEFT JOIN b USING (business_id), d WHERE r.dt >= '2001-07-01'""")
 def feature_join_default(spark: SparkSession, sf: str) -> DataFrame:
-    """Users and businesses outside the profile tables get the overall mean and zero counts."""
+    """Users and businesses without early reviews get the overall mean and zero counts."""
     r = ratings(spark, sf)
-    u = r.where("user_id % 4 > 0").groupBy("user_id").agg(F.count("*").alias("review_count"), F.round(F.avg("stars"), 6).alias("average_stars"))
-    b = r.where("business_id % 5 > 0").groupBy("business_id").agg(F.count("*").alias("business_reviews"), F.round(F.avg("stars"), 6).alias("business_stars"))
+    u = r.where("dt < '1995-03-01'").groupBy("user_id").agg(F.count("*").alias("review_count"), F.round(F.avg("stars"), 6).alias("average_stars"))
+    b = r.where("dt < '1995-01-03'").groupBy("business_id").agg(F.count("*").alias("business_reviews"), F.round(F.avg("stars"), 6).alias("business_stars"))
     mean = r.agg(F.round(F.avg("stars"), 6)).scalar()
     asked = r.where("dt >= '2001-07-01'").select("user_id", "business_id").distinct()
     d = asked.join(u, "user_id", "left").join(b, "business_id", "left").withColumn("mean", mean)
