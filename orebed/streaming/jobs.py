@@ -14,9 +14,16 @@ from orebed.storage import new_path
 
 
 def replay(stream: DataFrame, parts: int) -> tuple[DataFrame, int]:
-    """(readStream, files): the rows of (seq, id) again, as a file source that yields one file a micro-batch."""
+    """(readStream, files): the rows of (seq, id) again, as a file source that yields one file a micro-batch.
+
+    The files are written one after another, as the source takes them in order of their times; each holds an
+    equal share of the seq range.
+    """
     spark, path = stream.sparkSession, new_path(stream.sparkSession, "stream")
-    stream.select("seq", "id").repartitionByRange(parts, "seq").sortWithinPartitions("seq").write.parquet(path)
+    n = (stream.agg(F.max("seq")).first()[0] or 0) + 1
+    for k in range(parts):
+        part = stream.select("seq", "id").where((F.col("seq") >= k * n // parts) & (F.col("seq") < (k + 1) * n // parts))
+        part.coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema("seq long, id string").option("maxFilesPerTrigger", 1).parquet(path), parts
 
 
