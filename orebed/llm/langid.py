@@ -127,7 +127,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     sums = rows.select("text", "lang").mapInArrow(bundle, "lang string, v array<long>")
     sums = sums.select("lang", F.posexplode("v").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x"))
     got = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("v")).select("lang", "v.x").orderBy("lang").collect()
-    protos = np.array([r[1] for r in got], np.float64).reshape(len(got), -1)
+    protos = np.array([r[1] for r in got], np.float64).reshape(len(got), DIMENSIONS)
     return [r[0] for r in got], (protos / np.maximum(np.linalg.norm(protos, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
