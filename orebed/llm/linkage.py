@@ -3,8 +3,9 @@
 Rows of equal (key) share a bucket. Round one tests every member of a bucket only against the bucket's most
 central member, so it emits no more pairs than rows. Members that this leaves in another component than the
 pivot's are then compared with the rest of their bucket, in blocks of a bounded size, by b-bit signatures in
-memory; only pairs whose estimate comes near the threshold leave a task, for the exact test. So every pair of
-a bucket is either known to be connected or has been compared: the star loses no link.
+memory, the likeliest pairs first; pairs near the threshold get the exact test unless their block has joined
+them already, so a block emits fewer links than it has rows. Every pair of a bucket is either known to be
+connected or has been compared: the star loses no link.
 """
 
 from __future__ import annotations
@@ -65,22 +66,56 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(held[:, 0]), pa.array(held[:, 1])], ["key", "id"])
 
 
-def _block_pairs(least: float) -> Callable:
-    """Compares the blocks of sorted rows (key, lo, hi, block, id, component, outside, sig)."""
+class _Prepared(dict):
+    """Texts made ready for the exact test, by id; forgotten all at once when there are many."""
+
+    def __init__(self, prepare: Callable) -> None:
+        self.prepare = prepare
+
+    def of(self, i: int, text: Callable[[], str]) -> object:
+        if i not in self:
+            if len(self) > 4 * BLOCK:
+                self.clear()
+            self[i] = self.prepare(text())
+        return self[i]
+
+
+def _block_links(prepare: Callable, similar: Callable, least: float) -> Callable:
+    """Links within the blocks of sorted rows (key, lo, hi, block, id, component, outside, sig, text)."""
+    ready = _Prepared(prepare)
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
         lo, hi, block, ids, comp = (rows.column(k).to_numpy() for k in ("lo", "hi", "block", "id", "component"))
-        outside, sig = rows.column("outside").to_numpy(zero_copy_only=False), signature_column(rows.column("sig").combine_chunks())
+        outside, sig, text = rows.column("outside").to_numpy(), signature_column(rows.column("sig").combine_chunks()), rows.column("text")
         left = np.flatnonzero(block == lo)
         right = left if lo[0] == hi[0] else np.flatnonzero(block == hi)
-        a, b = [], []
+        near, one, two = [np.empty(0)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for i in left:
             j = right[right > i] if lo[0] == hi[0] else right
             j = j[(comp[j] != comp[i]) & (outside[j] | outside[i])]
-            j = j[estimate(sig[j], sig[i]) >= least] if len(j) else j
-            a.append(np.minimum(ids[i], ids[j]))
-            b.append(np.maximum(ids[i], ids[j]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).astype(np.int64)) if a else pa.array([], pa.int64()), pa.array(np.concatenate(b).astype(np.int64)) if b else pa.array([], pa.int64())], ["a", "b"])
+            e = estimate(sig[j], sig[i])
+            j, e = j[e >= least], e[e >= least]
+            near.append(e)
+            one.append(np.full(len(j), i))
+            two.append(j)
+        near, one, two = map(np.concatenate, (near, one, two))
+        head: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := head.get(c, c)) != c:
+                head[c] = head.get(up, up)
+                c = up
+            return c
+
+        a, b = [], []
+        for k in np.argsort(-near, kind="stable"):
+            i, j = int(one[k]), int(two[k])
+            p, q = find(int(comp[i])), find(int(comp[j]))
+            if p != q and similar(ready.of(int(ids[i]), lambda i=i: text[i].as_py()), ready.of(int(ids[j]), lambda j=j: text[j].as_py())):
+                head[max(p, q)] = min(p, q)
+                a.append(int(min(ids[i], ids[j])))
+                b.append(int(max(ids[i], ids[j])))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None  # the group that the next batch may go on with
@@ -106,20 +141,12 @@ def _verified(pairs: DataFrame, described: DataFrame, prepare: Callable, similar
     """The pairs (a, b) whose b-bit estimate is `least` or more and whose texts are similar by the exact test."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: dict[int, object] = {}
-
-        def of(i: int, text: str) -> object:
-            if i not in ready:
-                if len(ready) > 256:
-                    ready.clear()
-                ready[i] = prepare(text)
-            return ready[i]
-
+        ready = _Prepared(prepare)
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             near = estimate(signature_column(batch.column("sa")), signature_column(batch.column("sb"))) >= least if a else []
             ta, tb = batch.column("ta"), batch.column("tb")
-            ok = [i for i in np.flatnonzero(near) if similar(of(a[i], ta[i].as_py()), of(b[i], tb[i].as_py()))]
+            ok = [i for i in np.flatnonzero(near) if similar(ready.of(a[i], lambda i=i: ta[i].as_py()), ready.of(b[i], lambda i=i: tb[i].as_py()))]
             yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in ok], pa.int64()), "b": pa.array([b[i] for i in ok], pa.int64())})
 
     one = described.select(F.col("id").alias("a"), F.col("text").alias("ta"), F.col("sig").alias("sa"))
@@ -156,11 +183,10 @@ def link(members: DataFrame, describe: Callable[[DataFrame], DataFrame], prepare
     rest = placed.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rest = rest.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.join(described.select("id", "sig"), "id")
-    rest = rest.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "component", "outside", "sig")
+    rest = rest.join(described, "id")
+    rest = rest.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "component", "outside", "sig", "text")
     rest = rest.repartition(F.col("key"), F.col("lo"), F.col("hi")).sortWithinPartitions("key", "lo", "hi", "id")
-    more = rest.mapInArrow(_block_pairs(least), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
-    more = materialize(_verified(materialize(more, "pairs"), described, prepare, similar, least), "links")
+    more = materialize(rest.mapInArrow(_block_links(prepare, similar, least), "a long, b long").distinct(), "links")
     if more.isEmpty():
         return first
     stars = first.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
