@@ -120,7 +120,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lines = lines_of(docs)
 
     def describe(ids: DataFrame) -> DataFrame:
-        return lines.select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")).mapInArrow(_pack, "id long, text string, sig array<long>")
+        return lines.select("id", "line").join(ids.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")).mapInArrow(_pack, "id long, text string, sig array<long>")
 
     def similar(a: np.ndarray, b: np.ndarray) -> bool:
         both = len(np.intersect1d(a, b, assume_unique=True))

@@ -117,7 +117,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
 
     def describe(ids: DataFrame) -> DataFrame:
-        texts = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        texts = docs.join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi")
         return texts.groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(_pack, "id long, text string, sig array<long>")
 
     def similar(a: np.ndarray, b: np.ndarray) -> bool:
