@@ -173,7 +173,8 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
     """RECORDS of all archives below `path`; every record is read by the one task whose range it starts in."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "length")
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    # as many tasks as ranges: rows this small would otherwise be put together into one
+    ranges = ranges.repartition(max(1, ranges.count()), F.col("path"), F.col("start"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
