@@ -82,61 +82,74 @@ class _Prepared(dict):
 
 def _block_links(prepare: Callable, similar: Callable, least: float) -> Callable:
     """Links within the blocks of sorted rows (key, lo, hi, block, id, component, outside, sig, text)."""
-    ready = _Prepared(prepare)
-
-    def compare(rows: pa.Table) -> pa.RecordBatch:
-        lo, hi, block, ids, comp = (rows.column(k).to_numpy() for k in ("lo", "hi", "block", "id", "component"))
-        outside, sig, text = rows.column("outside").to_numpy(), signature_column(rows.column("sig").combine_chunks()), rows.column("text")
-        left = np.flatnonzero(block == lo)
-        right = left if lo[0] == hi[0] else np.flatnonzero(block == hi)
-        near, one, two = [np.empty(0)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i in left:
-            j = right[right > i] if lo[0] == hi[0] else right
-            j = j[(comp[j] != comp[i]) & (outside[j] | outside[i])]
-            e = estimate(sig[j], sig[i])
-            j, e = j[e >= least], e[e >= least]
-            near.append(e)
-            one.append(np.full(len(j), i))
-            two.append(j)
-        near, one, two = map(np.concatenate, (near, one, two))
-        head: dict[int, int] = {}
-
-        def find(c: int) -> int:
-            while (up := head.get(c, c)) != c:
-                head[c] = head.get(up, up)
-                c = up
-            return c
-
-        a, b = [], []
-        for k in np.argsort(-near, kind="stable"):
-            i, j = int(one[k]), int(two[k])
-            p, q = find(int(comp[i])), find(int(comp[j]))
-            if p != q and similar(ready.of(int(ids[i]), lambda i=i: text[i].as_py()), ready.of(int(ids[j]), lambda j=j: text[j].as_py())):
-                head[max(p, q)] = min(p, q)
-                a.append(int(min(ids[i], ids[j])))
-                b.append(int(max(ids[i], ids[j])))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = _Prepared(prepare)
         kept: pa.Table | None = None  # the group that the next batch may go on with
-        for b in batches:
-            if not b.num_rows:
+        for b in _and_end(batches):
+            t = kept if b is None else pa.Table.from_batches([b]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([b])])
+            if t is None or not t.num_rows:
                 continue
-            t = pa.Table.from_batches([b])
-            t = t if kept is None else pa.concat_tables([kept, t])
-            names = np.column_stack([t.column(k).to_numpy() for k in ("key", "lo", "hi")])
-            cuts = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
-            start = 0
-            for c in cuts:
-                yield compare(t.slice(start, c - start))
-                start = c
-            kept = t.slice(start)
-        if kept is not None:
-            yield compare(kept)
+            key, lo, hi, block, ids, comp = (t.column(k).to_numpy() for k in ("key", "lo", "hi", "block", "id", "component"))
+            outside, sig, text = t.column("outside").to_numpy(), signature_column(t.column("sig").combine_chunks()), t.column("text")
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            ends = cuts if b is not None else np.append(cuts, len(key))
+            pairs, start = [], 0
+            for end in ends.tolist():
+                pairs += _group_links(range(start, end), lo[start] == hi[start], block[start:end] == lo[start], ids, comp, outside, sig, text, ready, similar, least)
+                start = end
+            kept = t.slice(start) if b is not None else None
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
 
     return run
 
 
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches with rows, then None."""
+    for b in batches:
+        if b.num_rows:
+            yield b
+    yield None
+
+
+def _group_links(rows: range, alone: bool, in_left: np.ndarray, ids, comp, outside, sig, text, ready: _Prepared, similar: Callable, least: float) -> list[tuple[int, int]]:
+    """Links of one pair of blocks (or of one block with itself, `alone`): a forest over the components it meets."""
+    near, one, two = [], [], []
+    all_rows = np.arange(rows.start, rows.stop)
+    left = all_rows if alone else all_rows[in_left]
+    right = all_rows if alone else all_rows[~in_left]
+    for n, i in enumerate(left.tolist()):
+        j = right[n + 1 :] if alone else right
+        if len(j):
+            j = j[(comp[j] != comp[i]) & (outside[j] | outside[i])]
+        if len(j):
+            e = estimate(sig[j], sig[i])
+            hit = np.flatnonzero(e >= least)
+            if len(hit):
+                near.append(e[hit])
+                one.append(np.full(len(hit), i))
+                two.append(j[hit])
+    if not near:
+        return []
+    near, one, two = map(np.concatenate, (near, one, two))
+    head: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := head.get(c, c)) != c:
+            head[c] = head.get(up, up)
+            c = up
+        return c
+
+    out = []
+    for k in np.argsort(-near, kind="stable").tolist():
+        i, j = int(one[k]), int(two[k])
+        p, q = find(int(comp[i])), find(int(comp[j]))
+        if p != q and similar(ready.of(int(ids[i]), lambda i=i: text[i].as_py()), ready.of(int(ids[j]), lambda j=j: text[j].as_py())):
+            head[max(p, q)] = min(p, q)
+            out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    return out
+
+
 def _verified(pairs: DataFrame, described: DataFrame, prepare: Callable, similar: Callable, least: float) -> DataFrame:
     """The pairs (a, b) whose b-bit estimate is `least` or more and whose texts are similar by the exact test."""
 
