@@ -9,9 +9,9 @@ two or two for one, as long as the sum of squared fills grows, until bins run em
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,20 +31,30 @@ BLOCK = 8192
 NEIGHBOURS, SEARCH_ROUNDS = 64, 50
 
 #: Pre-tokens whose ids a worker keeps.
-CACHED = 1 << 19
+CACHED = 1 << 20
+
+#: Letters of Western European texts. For texts of these, ASCII and line breaks alone, PLAIN cuts as
+#: the tokenizer's own pattern does, and faster.
+LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+OTHER = re.compile(rf"[^\n\t\x20-\x7E{LATIN}]")
+PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^\s0-9{LATIN}]+|\s+(?!\S)|\s+")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
 class _Ids(dict):
-    """Pre-token to ids, by the tokenizer at the first sight of each."""
+    """Pre-token to ids, packed as little-endian 32-bit words, by the tokenizer at the first sight of each."""
 
     def __init__(self, tokenizer) -> None:
         self.tokenizer = tokenizer
 
-    def __missing__(self, token: str) -> tuple:
-        ids = tuple(self.tokenizer.encode(token, add_special_tokens=False).ids)
+    def __missing__(self, token: str) -> bytes:
+        ids = _packed(self.tokenizer.encode(token, add_special_tokens=False).ids)
         if len(self) < CACHED:
             self[token] = ids
         return ids
@@ -72,10 +82,14 @@ class Encoder:
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.ids = _Ids(self.tokenizer)
 
-    def encode(self, text: str) -> list[int]:
+    def encode_packed(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit words."""
         if not self.by_parts or any(a in text for a in self.added):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        return list(chain.from_iterable(map(self.ids.__getitem__, self.split(text))))
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.ids.__getitem__, self.split(text) if OTHER.search(text) else PLAIN.findall(text)))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -103,12 +117,12 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     """PIECES of every document: its ids and END_ID, cut where they exceed `capacity`. A null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path or tokenizer_path())
+        enc, end = encoder(path or tokenizer_path()), _packed([END_ID])
         for b in batches:
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.array([*enc.encode(text or ""), END_ID], "<u4")
-                rows += [(i, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), capacity))]
+                ids = enc.encode_packed(text or "") + end
+                rows += [(i, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -205,7 +205,7 @@ def test_packing_is_whole_gapless_and_tight(spark, odd, empty):
 
 def test_encoder_agrees_with_the_tokenizer():
     enc = packing.encoder(packing.tokenizer_path())
-    for t in [*(x[1] for x in ODD if x[1]), "we've  \n\n x's 12ab\t\r\n é z", "<|endoftext|> hi", "　你好 world  "]:
+    for t in [*(x[1] for x in ODD if x[1]), "we've  \n\n x's 12ab\t\r\n é z", "<|endoftext|> hi", "　你好 world  ", "x²y ½ ª\x1c\x85\xa0b ©", "l'été 12é'll 'S''d \n \n\t a"]:
         assert enc.encode(t) == enc.tokenizer.encode(t, add_special_tokens=False).ids
 
 
