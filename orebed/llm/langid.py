@@ -84,9 +84,9 @@ class Profiler:
                 n = len(self.codes)
                 for k, c in enumerate(new):
                     self.rows[n + k] = self.gram(int(c))
-                codes, slots = np.concatenate((self.codes, new)), np.concatenate((self.slots, np.arange(n, n + len(new))))
-                order = np.argsort(codes)
-                self.codes, self.slots = codes[order], slots[order]
+                known, slots = np.concatenate((self.codes, new)), np.concatenate((self.slots, np.arange(n, n + len(new))))
+                order = np.argsort(known)
+                self.codes, self.slots = known[order], slots[order]
                 at = np.searchsorted(self.codes, part)
             total += weight @ self.rows[self.slots[at]]
         return total

@@ -96,6 +96,16 @@ def test_language_id_of_odd_texts(spark, odd, empty):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {4, 5, None, 7, 8, 9}
 
 
+def test_language_profile_of_more_ngrams_than_the_table_holds():
+    rng = random.Random(5)
+    p = langid.Profiler()
+    codes, counts = p.grams("".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(2 * langid.TABLE_ROWS + 2000)))
+    assert len(codes) > 2 * langid.TABLE_ROWS
+    want = sum(np.sqrt(n) * p.gram(int(c)).astype(np.float64) for c, n in zip(codes, counts, strict=True))
+    for _ in range(2):  # a fresh table, then a warm one
+        assert np.allclose(p.profile(codes, counts), want, atol=0.1)
+
+
 # Lines and near duplicates
 
 
