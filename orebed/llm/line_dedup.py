@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orebed.llm.common import ASCII_SPACE, table
-from orebed.llm.linkage import link, pack
+from orebed.llm.linkage import estimate, link, pack
 from orebed.llm.minhash import mix
 from orebed.storage import materialize
 
@@ -24,9 +24,12 @@ from orebed.storage import materialize
 SHINGLE, BANDS, ROWS, PACKED = 5, 20, 5, 96
 BINS = BANDS * ROWS
 
-#: Percent of similarity that links, and how far (of 1) a b-bit estimate may fall short: four standard errors.
+#: Percent of similarity that links, and how far (of 1) a b-bit estimate of a long line may fall short: four standard errors.
 PERCENT, SLACK = 80, 0.25
 
+#: Bits of a line's shingle map; a line with LONG of them set (some 200 shingles) has enough full bins for the estimate.
+BITS, LONG = 256, 140
+
 #: Lines signed together, and hashes of lines that a task remembers as signed already.
 LINES, REMEMBERED = 2048, 1 << 20
 
@@ -59,17 +62,44 @@ def shingles(line: str) -> np.ndarray:
 
 def sign(lines: list[str]) -> np.ndarray:
     """(lines, BINS) uint32 signatures of normal, non-empty lines."""
-    h, owner = _windows(lines)
+    return _signatures(*_windows(lines), len(lines))
+
+
+def _signatures(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     bins = ((h >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
-    out = np.full(len(lines) * BINS, 0xFFFFFFFF, np.uint32)
+    out = np.full(n * BINS, 0xFFFFFFFF, np.uint32)
     np.minimum.at(out, owner * BINS + bins, h.astype(np.uint32))
-    out = out.reshape(len(lines), BINS)
+    out = out.reshape(n, BINS)
     at = np.where(np.concatenate((out, out), axis=1) != 0xFFFFFFFF, np.arange(2 * BINS), -1)
     source = np.maximum.accumulate(at, axis=1)[:, BINS:]
     away = (np.arange(BINS, 2 * BINS) - source).astype(np.uint32)
     return np.take_along_axis(out, source % BINS, axis=1) + away * _FILL
 
 
+def describe_lines(lines: list[str]) -> np.ndarray:
+    """(lines, words) uint64: the map of shingles, the packed signature, and how many shingles, repeats counted."""
+    h, owner = _windows(lines)
+    held = np.zeros((len(lines), BITS), bool)
+    held[owner, (h & np.uint64(BITS - 1)).astype(np.int64)] = True
+    sizes = np.bincount(owner, minlength=len(lines)).astype(np.uint64)
+    return np.column_stack((np.packbits(held, axis=1).view(np.uint64), pack(_signatures(h, owner, len(lines))[:, :PACKED]), sizes))
+
+
+def most_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How similar lines may be at most, from `describe_lines`.
+
+    Every bit that only one map has is a shingle that only one line has, so of s shingles in both lines with d
+    such bits the Jaccard similarity is (s - d) / (s + d) at most. Only where both lines are long, and their
+    maps full, the b-bit estimate and its slack bound it as well.
+    """
+    words = BITS // 64
+    ma, mb, s = a[..., :words], b[..., :words], (a[..., -1] + b[..., -1]).astype(np.float64)
+    d = np.bitwise_count(ma ^ mb).sum(axis=-1, dtype=np.int64)
+    bound = (s - d) / (s + d)
+    long = (np.bitwise_count(ma).sum(axis=-1, dtype=np.int64) >= LONG) & (np.bitwise_count(mb).sum(axis=-1, dtype=np.int64) >= LONG)
+    return np.where(long, np.minimum(bound, estimate(a[..., words:-1], b[..., words:-1]) + SLACK), bound)
+
+
 def band_keys(signatures: np.ndarray) -> np.ndarray:
     m = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
     h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), m.shape[:2])
@@ -101,7 +131,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, b.num_rows, LINES):
             part = b.slice(lo, LINES)
             text = [normal(t) for t in part.column(1).to_pylist()]
-            sig = pack(sign(text)[:, :PACKED]).view(np.int64)
+            sig = describe_lines(text).view(np.int64)
             yield pa.RecordBatch.from_pydict({"id": part.column(0), "text": pa.array(text, pa.string()), "sig": pa.array(list(sig), pa.list_(pa.int64()))})
 
 
@@ -126,7 +156,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         both = len(np.intersect1d(a, b, assume_unique=True))
         return 100 * both >= percent * (len(a) + len(b) - both)
 
-    found = link(lines.select("id", "line").mapInArrow(_members, "key long, id long"), describe, shingles, similar, percent / 100 - SLACK)
+    found = link(lines.select("id", "line").mapInArrow(_members, "key long, id long"), describe, shingles, similar, percent / 100 - 1e-9, most_similar)
     placed = materialize(lines.select("doc_id", "line_no", "id"), "lines")
     often = placed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.col("id").alias("component"))
     groups = often.join(found.select("id"), "id", "left_anti").unionByName(found)

@@ -2,7 +2,7 @@
 
 Rows of equal (key) share a bucket. Round one tests every member of a bucket only against the bucket's most
 central member, so it emits no more pairs than rows. Members that this leaves in another component than the
-pivot's are then compared with the rest of their bucket, in blocks of a bounded size, by b-bit signatures in
+pivot's are then compared with the rest of their bucket, in blocks of a bounded size, by signatures in
 memory, the likeliest pairs first; pairs near the threshold get the exact test unless their block has joined
 them already, so a block emits fewer links than it has rows. Every pair of a bucket is either known to be
 connected or has been compared: the star loses no link.
@@ -80,7 +80,7 @@ class _Prepared(dict):
         return self[i]
 
 
-def _block_links(prepare: Callable, similar: Callable, least: float) -> Callable:
+def _block_links(prepare: Callable, similar: Callable, least: float, likely: Callable) -> Callable:
     """Links within the blocks of sorted rows (key, lo, hi, block, id, component, outside, sig, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +96,7 @@ def _block_links(prepare: Callable, similar: Callable, least: float) -> Callable
             ends = cuts if b is not None else np.append(cuts, len(key))
             pairs, start = [], 0
             for end in ends.tolist():
-                pairs += _group_links(range(start, end), lo[start] == hi[start], block[start:end] == lo[start], ids, comp, outside, sig, text, ready, similar, least)
+                pairs += _group_links(range(start, end), lo[start] == hi[start], block[start:end] == lo[start], ids, comp, outside, sig, text, ready, similar, least, likely)
                 start = end
             kept = t.slice(start) if b is not None else None
             yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
@@ -112,7 +112,7 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
     yield None
 
 
-def _group_links(rows: range, alone: bool, in_left: np.ndarray, ids, comp, outside, sig, text, ready: _Prepared, similar: Callable, least: float) -> list[tuple[int, int]]:
+def _group_links(rows: range, alone: bool, in_left: np.ndarray, ids, comp, outside, sig, text, ready: _Prepared, similar: Callable, least: float, likely: Callable) -> list[tuple[int, int]]:
     """Links of one pair of blocks (or of one block with itself, `alone`): a forest over the components it meets."""
     near, one, two = [], [], []
     all_rows = np.arange(rows.start, rows.stop)
@@ -123,7 +123,7 @@ def _group_links(rows: range, alone: bool, in_left: np.ndarray, ids, comp, outsi
         if len(j):
             j = j[(comp[j] != comp[i]) & (outside[j] | outside[i])]
         if len(j):
-            e = estimate(sig[j], sig[i])
+            e = likely(sig[j], sig[i])
             hit = np.flatnonzero(e >= least)
             if len(hit):
                 near.append(e[hit])
@@ -150,14 +150,14 @@ def _group_links(rows: range, alone: bool, in_left: np.ndarray, ids, comp, outsi
     return out
 
 
-def _verified(pairs: DataFrame, described: DataFrame, prepare: Callable, similar: Callable, least: float) -> DataFrame:
-    """The pairs (a, b) whose b-bit estimate is `least` or more and whose texts are similar by the exact test."""
+def _verified(pairs: DataFrame, described: DataFrame, prepare: Callable, similar: Callable, least: float, likely: Callable) -> DataFrame:
+    """The pairs (a, b) whose likeness by signatures is `least` or more and whose texts are similar by the exact test."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = _Prepared(prepare)
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            near = estimate(signature_column(batch.column("sa")), signature_column(batch.column("sb"))) >= least if a else []
+            near = likely(signature_column(batch.column("sa")), signature_column(batch.column("sb"))) >= least if a else []
             ta, tb = batch.column("ta"), batch.column("tb")
             ok = [i for i in np.flatnonzero(near) if similar(ready.of(a[i], lambda i=i: ta[i].as_py()), ready.of(b[i], lambda i=i: tb[i].as_py()))]
             yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in ok], pa.int64()), "b": pa.array([b[i] for i in ok], pa.int64())})
@@ -167,12 +167,13 @@ def _verified(pairs: DataFrame, described: DataFrame, prepare: Callable, similar
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def link(members: DataFrame, describe: Callable[[DataFrame], DataFrame], prepare: Callable, similar: Callable, least: float) -> DataFrame:
+def link(members: DataFrame, describe: Callable[[DataFrame], DataFrame], prepare: Callable, similar: Callable, least: float, likely: Callable = estimate) -> DataFrame:
     """(id, component) of all ids that are linked with another; the rest are components of their own.
 
     members: (key, id), a row for each bucket that an id falls into. describe: takes (id), returns (id, text,
-    sig) of those, sig packed by `pack`. prepare, similar: the exact test on two texts. least: the b-bit
-    estimate below which a pair is no candidate; set it far enough under the threshold.
+    sig) of those, sig a list of 64-bit words. prepare, similar: the exact test on two texts. likely: likeness of
+    signatures, by default the b-bit estimate of those that `pack` made. least: the likeness below which a pair
+    is no candidate; set it far enough under the threshold.
     """
     multi = members.select("key", "id").repartition(F.col("key")).sortWithinPartitions("key", "id")
     multi = materialize(multi.mapInArrow(_shared_keys, "key long, id long"), "buckets")
@@ -186,7 +187,7 @@ def link(members: DataFrame, describe: Callable[[DataFrame], DataFrame], prepare
     pivots = materialize(pivots, "pivots")
     star = m.join(pivots, "key").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     star = materialize(star, "pairs")
-    links = materialize(_verified(star, described, prepare, similar, least), "links")
+    links = materialize(_verified(star, described, prepare, similar, least, likely), "links")
     first = materialize(connected_components(links), "components")
 
     inside = pivots.join(first.withColumnRenamed("id", "pivot"), "pivot", "left").select("key", F.coalesce("component", "pivot").alias("home"))
@@ -199,7 +200,7 @@ def link(members: DataFrame, describe: Callable[[DataFrame], DataFrame], prepare
     rest = rest.join(described, "id")
     rest = rest.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "component", "outside", "sig", "text")
     rest = rest.repartition(F.col("key"), F.col("lo"), F.col("hi")).sortWithinPartitions("key", "lo", "hi", "id")
-    more = materialize(rest.mapInArrow(_block_links(prepare, similar, least), "a long, b long").distinct(), "links")
+    more = materialize(rest.mapInArrow(_block_links(prepare, similar, least, likely), "a long, b long").distinct(), "links")
     if more.isEmpty():
         return first
     stars = first.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orebed.llm import chat_format, decontam, langid, line_dedup, minhash, packing, quality, secret_scan, url_filter, warc
+from orebed.llm import chat_format, decontam, langid, line_dedup, linkage, minhash, packing, quality, secret_scan, url_filter, warc
 from orebed.llm.components import connected_components
 from orebed.llm.registry import ORACLE_SQL, QUERIES
 from tests.conftest import DATA
@@ -120,6 +120,30 @@ def test_lines_equal_brute_force(spark):
     assert got == {p: c for p, c in want.items() if p in linked}
 
 
+def test_short_lines_that_share_a_band_are_linked_whatever_the_estimate(spark):
+    rng = random.Random(8)
+    draw = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    pairs = [(x, x[:-1]) for n in (9, 9, 12, 22) for x in (draw(n) for _ in range(400))] + [(x, x[:-1] + "#") for n in (14, 24, 34) for x in (draw(n) for _ in range(400))]
+    one, two = (line_dedup.sign([p[k] for p in pairs]) for k in (0, 1))
+    banded = (line_dedup.band_keys(one) == line_dedup.band_keys(two)).any(axis=1)
+    low = linkage.estimate(linkage.pack(one[:, : line_dedup.PACKED]), linkage.pack(two[:, : line_dedup.PACKED])) < 0.55
+    sets = [tuple(set(line_dedup.shingles(x).tolist()) for x in p) for p in pairs]
+    near = [p for p, (a, b), u in zip(pairs, sets, banded & low, strict=True) if u and 100 * len(a & b) >= 80 * len(a | b)]
+    assert len(near) >= 20
+    docs = spark.createDataFrame([(i, "\n".join(p)) for i, p in enumerate(near)], "doc_id long, text string")
+    assert line_dedup.repeated_lines(docs).count() == 2 * len(near)
+
+
+def test_most_similar_is_never_under_the_similarity_of_short_lines():
+    rng = random.Random(9)
+    lines = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    told = line_dedup.describe_lines(lines)
+    sets = [set(line_dedup.shingles(x).tolist()) for x in lines]
+    for k in range(len(lines)):
+        most = line_dedup.most_similar(told, told[k])
+        assert all(m >= len(s & sets[k]) / len(s | sets[k]) - 1e-9 for m, s in zip(most, sets, strict=True))
+
+
 def test_line_dedup_of_odd_texts(spark, odd, empty):
     out = line_dedup.dedup_lines(odd)
     rows = out.collect()
