@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.clustering import KMeans, PowerIterationClustering
@@ -14,7 +15,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orebed.operators.relational import arithmetic_hash
+from orebed.operators.relational import arithmetic_hash, dense_index
 from orebed.operators.stats import distance, folds, nearest, vote
 from orebed.storage import materialize
 
@@ -136,34 +137,51 @@ def spectral(df: DataFrame, k: int, gamma: float = 1.0, neighbours: int = 10) ->
     return df.join(got, "id").select("id", "v", "label", "cluster")
 
 
-def self_training(labelled: DataFrame, unlabelled: DataFrame, batch: int, rounds: int) -> DataFrame:
-    """(id, v, label): labelled points and those that the model took in, `batch` most confident ones a round."""
+def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The rows of the n least keys `order` (tied rows go together), without gathering n rows in one task."""
+    keyed = materialize(df.withColumn("_key", F.struct(*order)), "keyed")
+    return keyed.join(dense_index(keyed, "_key").where(F.col("index") < n).select("_key"), "_key", "left_semi").drop("_key")
+
+
+def self_training(labelled: DataFrame, unlabelled: DataFrame, batch: int, rounds: int = 10) -> DataFrame:
+    """(id, v, label): labelled points and all others as the model took them in, the most confident ones first.
+
+    A round takes in a share of 1 / rounds of the unlabelled points, `batch` at least, until none is left.
+    """
     have, rest = materialize(labelled.select("id", "v", "label"), "labelled"), materialize(unlabelled.select("id", "v"), "unlabelled")
-    for _ in range(rounds):
-        if rest.isEmpty():
-            break
+    n = rest.count()
+    batch = max(batch, ceil(n / rounds))
+    for left in range(n, 0, -batch):
         scored = LogisticRegression(regParam=0.01, maxIter=30).fit(vectors(have)).transform(vectors(rest))
         sure = scored.select("id", "v", F.col("prediction").cast("int").alias("label"), F.array_max(vector_to_array("probability")).alias("p"))
-        new = materialize(sure.orderBy(F.desc("p"), "id").limit(batch).select("id", "v", "label"), "new")
+        new = sure if left <= batch else first_rows(sure, [-F.col("p"), F.col("id")], batch)
+        new = materialize(new.select("id", "v", "label"), "new")
         have, rest = materialize(have.unionByName(new), "labelled"), materialize(rest.join(new.select("id"), "id", "left_anti"), "unlabelled")
     return have
 
 
-def active_learning(pool: DataFrame, test: DataFrame, start: int, step: int, rounds: int, active: bool = True) -> DataFrame:
-    """(known, error) after each round; `step` points join a round, those nearest the margin, or random ones."""
+def active_learning(pool: DataFrame, test: DataFrame, start: int, step: int, rounds: int = 20, active: bool = True) -> DataFrame:
+    """(known, error) after each round, from `start` points to the whole pool.
+
+    The points nearest the margin, or random ones, join a round: a share of 1 / rounds of the rest, `step` at least.
+    """
     order = arithmetic_hash(F.col("id"), 41)
     have = materialize(pool.orderBy(order, "id").limit(start), "known")
+    n = max(0, pool.count() - start)
+    step = max(step, ceil(n / rounds))
     out = []
-    for _ in range(rounds):
+    for left in [*range(n, 0, -step), 0]:
         model = LogisticRegression(regParam=0.01, maxIter=30).fit(vectors(have))
         error = model.transform(vectors(test)).agg(F.avg((F.col("prediction") != F.col("label")).cast("double"))).first()[0]
         out.append((have.count(), float(error)))
-        rest = vectors(pool.join(have.select("id"), "id", "left_anti"))
-        if active:
-            rest = model.transform(rest).withColumn("margin", F.array_max(vector_to_array("probability")))
-            picked = rest.orderBy("margin", "id").limit(step)
-        else:
-            picked = rest.orderBy(order, "id").limit(step)
+        if not left:
+            break
+        picked = pool.join(have.select("id"), "id", "left_anti")
+        if active and left > step:
+            margin = model.transform(vectors(picked)).withColumn("margin", F.array_max(vector_to_array("probability")))
+            picked = first_rows(margin.select(*have.columns, "margin"), [F.col("margin"), F.col("id")], step)
+        elif left > step:
+            picked = first_rows(picked, [order, F.col("id")], step)
         have = materialize(have.unionByName(picked.select(have.columns)), "known")
     return pool.sparkSession.createDataFrame(out, "known long, error double")
 

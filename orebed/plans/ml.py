@@ -278,17 +278,17 @@ def spectral(spark: SparkSession, sf: str) -> DataFrame:
 @query("self_training")
 def self_training(spark: SparkSession, sf: str) -> DataFrame:
     q, p = split(spark, sf)
-    return M.self_training(q.withColumnRenamed("q", "id"), p, batch=100, rounds=2).select("id", "label")
+    return M.self_training(q.withColumnRenamed("q", "id"), p, batch=100).select("id", "label")
 
 
 @query("active_learning")
 def active_learning(spark: SparkSession, sf: str) -> DataFrame:
-    return M.active_learning(*train_test(spark, sf), start=60, step=20, rounds=3)
+    return M.active_learning(*train_test(spark, sf), start=60, step=20)
 
 
 @query("passive_learning")
 def passive_learning(spark: SparkSession, sf: str) -> DataFrame:
-    return M.active_learning(*train_test(spark, sf), start=60, step=20, rounds=3, active=False)
+    return M.active_learning(*train_test(spark, sf), start=60, step=20, active=False)
 
 
 @query("bfr")

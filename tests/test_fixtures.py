@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from orebed.functions import text as T
 from orebed.operators import graph as G
 from orebed.operators import itemsets as I
+from orebed.operators import ml as M
 from orebed.operators import recommend as C
 from orebed.operators import relational as R
 from orebed.operators import sketches as K
@@ -157,3 +158,23 @@ def test_nearest_neighbours_by_hand(spark):
         assert one(spark, S.distance(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0)), metric)) == pytest.approx(d)
     with pytest.raises(ValueError):
         S.distance(F.lit(0), F.lit(0), "none")
+
+
+def test_training_loops_take_in_every_point(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(4.0 * (i % 2), 1.0), rng.gauss(0.0, 1.0)], i % 2) for i in range(130)]
+    points = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    got = M.self_training(points.where("id < 10"), points.where("id >= 10"), batch=50).collect()
+    assert sorted(r.id for r in got) == list(range(130))
+    for active in (True, False):
+        curve = M.active_learning(points.where("id >= 30"), points.where("id < 30"), start=20, step=30, active=active).collect()
+        assert [r.known for r in curve] == [20, 50, 80, 100]
+
+
+def test_training_queries_take_in_every_row(spark):
+    from orebed.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    got = [r.id for r in QUERIES["self_training"](spark, sf).collect()]
+    assert len(got) == len(ids) and set(got) == ids
