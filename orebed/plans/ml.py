@@ -218,8 +218,9 @@ def nearest_palette(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def train_test(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    q, p = split(spark, sf)
-    return p, q.withColumnRenamed("q", "id")
+    """(train, test), four fifths and a fifth of each label, as stratified_split has them."""
+    p = points(spark, sf).join(stratified_split(spark, sf).select(F.col("vec_id").alias("id"), "part"), "id")
+    return p.where("part = 'train'").drop("part"), p.where("part = 'test'").drop("part")
 
 
 @query("multi_ols")

@@ -17,6 +17,7 @@ from orebed.operators import relational as R
 from orebed.operators import sketches as K
 from orebed.operators import stats as S
 from orebed.sources import readers, writers
+from tests.conftest import DATA
 
 
 def one(spark, expr):
@@ -174,7 +175,15 @@ def test_training_loops_take_in_every_point(spark):
 def test_training_queries_take_in_every_row(spark):
     from orebed.plans.registry import QUERIES
 
-    sf = "/root/testdata/sf0.001"
+    sf = f"{DATA}/sf0.001"
     ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
     got = [r.id for r in QUERIES["self_training"](spark, sf).collect()]
     assert len(got) == len(ids) and set(got) == ids
+
+
+def test_the_test_rows_of_models_grow_with_the_table(spark):
+    from orebed.plans.ml import train_test
+
+    train, test = (x.count() for x in train_test(spark, f"{DATA}/sf0.1"))
+    n = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").count()
+    assert train + test == n and abs(test - n / 5) <= 10
