@@ -27,9 +27,9 @@ ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 12, 18, 16
 KINDS = ("assign", "access", "hex", "model")
 ASSIGN_WORDS = ("passw", "secret", "token", "key")
 
-#: A candidate is a run of these characters of CANDIDATE_LENGTH or more with a digit in it.
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-DIGIT = re.compile(r"[0-9]")
+#: A candidate is a run of these characters of CANDIDATE_LENGTH or more, or what base findings leave of one.
+CANDIDATE_LENGTH = 12
+RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{CANDIDATE_LENGTH},}}")
 
 #: Characters of a window's candidate part, its context on either side, and the step of windows over long candidates.
 CORE, SIDE, STEP = 64, 20, 48
@@ -59,15 +59,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Spans for the network: runs with a digit that no base finding overlaps."""
+    """Spans for the network: runs, and the parts of runs beside base findings that are as long as a candidate."""
     out, k, taken = [], 0, sorted(taken)
     reach = 0
     for m in RUN.finditer(text):
-        while k < len(taken) and taken[k][0] < m.end():
+        at, end = max(m.start(), reach), m.end()
+        while k < len(taken) and taken[k][0] < end:
+            if taken[k][0] - at >= CANDIDATE_LENGTH:
+                out.append((at, taken[k][0]))
             reach = max(reach, taken[k][2])
+            at = max(at, reach)
             k += 1
-        if reach <= m.start() and DIGIT.search(m[0]):
-            out.append(m.span())
+        if end - at >= CANDIDATE_LENGTH:
+            out.append((at, end))
     return out
 
 
@@ -132,6 +136,11 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
     draw = lambda chars, k: "".join(chars[i] for i in rng.integers(0, len(chars), k))
     word = lambda: "".join(syllables[i] for i in rng.integers(0, len(syllables), rng.integers(1, 5)))
     num = lambda lo, hi: str(rng.integers(lo, hi))
+    parts = "the and of to in er on an re he at en nd ti es or te is it ar al le de que los las des les ent eau oux eux ion tion ment elle aux pre con per pro com der die das und ung heit keit lich sch ein auf ver ge be ly ing ness able ble ous ful wh th st nt pf tz ch str sp qu ia io ado mente aje cion era ido ha was with that this from".split()
+    plain = lambda n: "".join(parts[i] for i in rng.integers(0, len(parts), n))
+    cased = lambda x: (x, x, x, x.capitalize(), x.upper())[rng.integers(5)]
+    phrase = lambda sep, n: sep.join(cased(word()) for _ in range(n))
+    letters = alnum[:52]
     secret = [
         lambda: draw("0123456789abcdef", rng.integers(20, 65)),
         lambda: draw("0123456789ABCDEF", rng.integers(20, 65)),
@@ -141,6 +150,10 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
         lambda: "AKIA" + draw(alnum[:26] + "0123456789", 16),
         lambda: ".".join(draw(alnum + "_-", rng.integers(15, 40)) for _ in range(3)),
         lambda: draw(alnum[26:] + "_-", rng.integers(18, 40)),
+        lambda: draw(letters, rng.integers(14, 40)),
+        lambda: draw(letters[:26], rng.integers(16, 40)),
+        lambda: draw(letters[26:], rng.integers(16, 40)),
+        lambda: phrase("-_."[rng.integers(3)], rng.integers(4, 7)),
     ]
     harmless = [
         lambda: f"{word()}{num(1, 99)}.{word()}.example.com",
@@ -154,20 +167,28 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, in
         lambda: f"{word()}{word()}{num(1, 10)}",
         lambda: f"{num(1, 10000)}{word()}{word()}{word()}",
         lambda: "=" * int(rng.integers(8, 20)) + num(100, 10000) + "-" * 6,
+        *[lambda: cased(plain(rng.integers(4, 9))) + ("", "", ".")[rng.integers(3)]] * 4,
+        *[lambda: cased(word() + word() + word()) + ("", "", ".")[rng.integers(3)]] * 2,
+        lambda: phrase("-_."[rng.integers(3)], rng.integers(2, 7)),
+        lambda: plain(2) + "".join(plain(2).capitalize() for _ in range(rng.integers(1, 4))),
+        lambda: "/" + "/".join(plain(2) for _ in range(rng.integers(2, 5))),
+        lambda: "-=._"[rng.integers(4)] * int(rng.integers(12, 60)),
     ]
     lead = ["token = \"", "password: ", "api_key=", "secret='", "", "", "", "key ", "Bearer ", "see ", "at http://", "id ", "| ", "(", "@", "mail@"]
+    cues = ["passphrase: ", "passphrase=\"", "Passphrase is ", "passphrase '"]  # what tells a passphrase from other words
     out = []
     while len(out) < n:
         label = int(rng.random() < 0.5)
         kinds = secret if label else harmless
-        core = kinds[rng.integers(len(kinds))]()
-        if len(core) < 12 or not DIGIT.search(core):
+        kind = rng.integers(len(kinds))
+        core = kinds[kind]()
+        if len(core) < CANDIDATE_LENGTH:
             continue
         if label == 0 and rng.random() < 0.2:
             core = f"mail{num(0, 100)}.{word()}.com" if rng.random() < 0.5 else ".".join(num(20, 256) for _ in range(4))
-            if len(core) < 12:
+            if len(core) < CANDIDATE_LENGTH:
                 continue
-        before = " ".join(word() for _ in range(rng.integers(0, 8))) + " " + lead[rng.integers(len(lead))]
+        before = " ".join(word() for _ in range(rng.integers(0, 8))) + " " + (cues[rng.integers(len(cues))] if label and kind == len(secret) - 1 else lead[rng.integers(len(lead))])
         after = ['"', " ", "\n", ". ", ") "][rng.integers(5)] + " ".join(word() for _ in range(rng.integers(0, 8)))
         out.append((before + core + after, len(before), len(before) + len(core), label))
     return out
