@@ -3,6 +3,10 @@
 Each letter has a random bipolar vector. A trigram's vector binds (multiplies) its letters' vectors, each
 permuted (rolled) by its place; a text's profile bundles (adds) the vectors of its trigrams; a language's
 prototype bundles the profiles of its training documents. A text gets the language of the largest cosine.
+
+Bundles are linear in the n-grams: prototypes are made from n-grams' summed weights, and a text's product with
+them is the weighted sum of its n-grams' products, which a worker keeps. So the work a text is its n-grams',
+whatever the dimensions. A profile's length is taken as that of independent n-gram vectors.
 """
 
 from __future__ import annotations
@@ -18,10 +22,15 @@ from pyspark.sql import functions as F
 from orebed.llm.common import table
 
 #: Dimensions of the vectors, letters of an n-gram, seed of the letters' vectors.
-DIMENSIONS, SIZE, SEED = 512, 3, 20240229
+DIMENSIONS, SIZE, SEED = 4096, 3, 20240229
+
+#: Distinct n-grams whose products a worker keeps, letters whose vectors it keeps (beyond it they start anew), n-grams
+#: whose vectors it makes at once, and n-grams of texts that it holds before it adds up their weights.
+TABLE_ROWS, LETTERS, SLICE, PENDING = 1 << 15, 1 << 14, 1 << 10, 1 << 20
 
-#: Distinct n-grams whose vectors a worker keeps; beyond it the table starts anew.
-TABLE_ROWS = 1 << 15
+#: Share of labelled documents whose scores may lie below what counts as a known language; steps of scores;
+#: standard deviations of a chance cosine that the least score is above in any case.
+LOST, STEP, CHANCE = 0.002, 0.001, 5
 
 UNKNOWN = "und"
 
@@ -42,21 +51,24 @@ class Profiler:
     def __init__(self) -> None:
         self.symbols = _symbols()
         self.letters: dict[int, np.ndarray] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.codes, self.slots, self.rows = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((TABLE_ROWS, DIMENSIONS), np.float32)
 
     def letter(self, c: int) -> np.ndarray:
         if c not in self.letters:
-            self.letters[c] = np.random.default_rng([SEED, c]).integers(0, 2, DIMENSIONS).astype(np.float32) * 2 - 1
+            if len(self.letters) >= LETTERS:
+                self.letters.clear()
+            self.letters[c] = np.random.default_rng([SEED, c]).integers(0, 2, DIMENSIONS).astype(np.int8) * 2 - 1
         return self.letters[c]
 
     def gram(self, code: int) -> np.ndarray:
-        out = np.ones(DIMENSIONS, np.float32)
+        return self.vectors(np.array([code], np.uint64))[0]
+
+    def vectors(self, codes: np.ndarray) -> np.ndarray:
+        """(codes, DIMENSIONS) float32: the n-grams' vectors."""
+        out = np.ones((len(codes), DIMENSIONS), np.int8)
         for place in range(SIZE):
-            out = out * np.roll(self.letter(code >> 21 * (SIZE - 1 - place) & 0x1FFFFF), place)
-        return out
+            letters, at = np.unique(codes >> np.uint64(21 * (SIZE - 1 - place)) & np.uint64(0x1FFFFF), return_inverse=True)
+            out *= np.stack([np.roll(self.letter(int(c)), place) for c in letters])[at]
+        return out.astype(np.float32)
 
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Distinct n-grams and their counts; None for a text without a letter."""
@@ -70,26 +82,47 @@ class Profiler:
             code = (code << np.uint64(21)) | s[place : len(s) - SIZE + 1 + place]
         return np.unique(code, return_counts=True)
 
+    def bundle(self, codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        total = np.zeros(DIMENSIONS)
+        for lo in range(0, len(codes), SLICE):
+            total += weights[lo : lo + SLICE].astype(np.float32) @ self.vectors(codes[lo : lo + SLICE])
+        return total
+
     def profile(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The bundle of n-grams, each weighted by the root of its count so that no single one rules."""
-        total = np.zeros(DIMENSIONS, np.float32)
-        for lo in range(0, len(codes), TABLE_ROWS // 2):
-            part, weight = codes[lo : lo + TABLE_ROWS // 2], np.sqrt(counts[lo : lo + TABLE_ROWS // 2]).astype(np.float32)
+        return self.bundle(codes, np.sqrt(counts))
+
+
+class Scorer:
+    """Cosines of texts' profiles with the prototypes, from the n-grams' products with them."""
+
+    def __init__(self, p: Profiler, protos: np.ndarray) -> None:
+        self.p, self.protos = p, protos
+        self._reset()
+
+    def _reset(self) -> None:
+        self.codes, self.products = np.empty(0, np.uint64), np.empty((0, len(self.protos)), np.float32)
+
+    def _product(self, part: np.ndarray) -> np.ndarray:
+        """(part, languages) products of sorted distinct n-grams, no more than half a table."""
+        at = np.searchsorted(self.codes, part)
+        new = part[self.codes[np.minimum(at, len(self.codes) - 1)] != part] if len(self.codes) else part
+        if len(new):
+            if len(self.codes) + len(new) > TABLE_ROWS:
+                self._reset()
+                new = part
+            got = [self.p.vectors(new[lo : lo + SLICE]) @ self.protos.T for lo in range(0, len(new), SLICE)]
+            known, products = np.concatenate((self.codes, new)), np.concatenate((self.products, *got))
+            order = np.argsort(known)
+            self.codes, self.products = known[order], products[order]
             at = np.searchsorted(self.codes, part)
-            new = part[self.codes[np.minimum(at, len(self.codes) - 1)] != part] if len(self.codes) else part
-            if len(new):
-                if len(self.codes) + len(new) > TABLE_ROWS:
-                    self._reset()
-                    new = part
-                n = len(self.codes)
-                for k, c in enumerate(new):
-                    self.rows[n + k] = self.gram(int(c))
-                known, slots = np.concatenate((self.codes, new)), np.concatenate((self.slots, np.arange(n, n + len(new))))
-                order = np.argsort(known)
-                self.codes, self.slots = known[order], slots[order]
-                at = np.searchsorted(self.codes, part)
-            total += weight @ self.rows[self.slots[at]]
-        return total
+        return self.products[at]
+
+    def cosines(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        total, half = np.zeros(len(self.protos)), TABLE_ROWS // 2
+        for lo in range(0, len(codes), half):
+            total += np.sqrt(counts[lo : lo + half]) @ self._product(codes[lo : lo + half])
+        return total / np.sqrt(float(counts.sum()) * DIMENSIONS)
 
 
 _profiler: list[Profiler] = []
@@ -106,6 +139,15 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
+def labelled(docs: DataFrame) -> DataFrame:
+    return docs.where("lang IS NOT NULL AND text IS NOT NULL")
+
+
+def taught(docs: DataFrame) -> DataFrame:
+    """The rows that train: labelled, with a text, not held out."""
+    return labelled(docs).where((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) | F.col("doc_id").isNull())
+
+
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes (unit vectors) from all labelled documents.
 
@@ -114,17 +156,27 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, sums = profiler(), {}
+        p, sums, held, size = profiler(), {}, {}, 0
+
+        def add() -> None:
+            for lang, parts in held.items():
+                codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+                sums[lang] = sums.get(lang, 0) + p.bundle(codes, np.bincount(at, np.concatenate([w for _, w in parts])))
+            held.clear()
+
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if (g := p.grams(text)) is not None:
-                    v = p.profile(*g)
-                    sums[lang] = sums.get(lang, 0) + v.astype(np.float64) / max(np.linalg.norm(v), 1e-9)
+                    held.setdefault(lang, []).append((g[0], np.sqrt(g[1] / (float(g[1].sum()) * DIMENSIONS))))
+                    size += len(g[0])
+                    if size > PENDING:
+                        add()
+                        size = 0
+        add()
         for lang, v in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang], "v": [np.round(v * 2**20).astype(np.int64).tolist()]})
 
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").where((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) | F.col("doc_id").isNull())
-    sums = rows.select("text", "lang").mapInArrow(bundle, "lang string, v array<long>")
+    sums = taught(docs).select("text", "lang").mapInArrow(bundle, "lang string, v array<long>")
     sums = sums.select("lang", F.posexplode("v").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x"))
     got = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("v")).select("lang", "v.x").orderBy("lang").collect()
     protos = np.array([r[1] for r in got], np.float64).reshape(len(got), DIMENSIONS)
@@ -142,6 +194,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = profiler()
+        scorer = Scorer(p, protos)
         for b in batches:
             ids, out, scores = b.column(0).to_pylist(), [], []
             for text in b.column(1).to_pylist():
@@ -150,8 +203,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                     out.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                v = p.profile(*g)
-                cos = protos @ v / max(float(np.linalg.norm(v)), 1e-9)
+                cos = scorer.cosines(*g)
                 k = int(np.argmax(np.round(cos, 6)))
                 out.append(langs[k])
                 scores.append(min(1.0, max(0.0, round(float(cos[k]), 6))))
@@ -160,22 +212,40 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.05) -> DataFrame:
-    """The documents whose language is known: those with a letter and a score of `min_score` or more.
+def least_score(docs: DataFrame, model: tuple[list[str], np.ndarray], lost: float = LOST) -> float:
+    """The score that all but a share of `lost` of the labelled documents reach, to STEP; never one of mere chance.
 
-    All columns and repeated rows stay; rows with a null doc_id are judged by their text as well.
+    Held-out documents count too: those that trained score higher than new ones, the more so the fewer there are.
+    """
+    scores = predict(labelled(docs), model).where(F.col("lang_pred") != UNKNOWN).select(F.floor(F.col("score") / STEP).alias("bin"))
+    left = 0
+    bins = scores.groupBy("bin").agg(F.count("*").alias("n")).orderBy("bin").collect()  # 1 / STEP rows at most
+    least = CHANCE / DIMENSIONS**0.5
+    for at, n in bins:
+        left += n
+        if left > lost * sum(n for _, n in bins):
+            return max(least, at * STEP)
+    return least
+
+
+def keep_known(docs: DataFrame, lost: float = LOST) -> DataFrame:
+    """The documents whose language is known: those with a letter and a score that labelled documents reach.
+
+    The least score is that which all but a share of `lost` of them reach. All columns and repeated rows stay;
+    rows with a null doc_id are judged by their text as well.
     """
     model = train(docs)
+    least = least_score(docs, model, lost)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, (langs, protos) = profiler(), model
+        scorer = Scorer(p, protos)
         for b in batches:
             keep = []
             for text in b.column(columns.index("text")).to_pylist():
                 g = p.grams(text) if text and langs else None
-                v = None if g is None else p.profile(*g)
-                keep.append(v is not None and float((protos @ v).max()) >= min_score * float(np.linalg.norm(v)))
+                keep.append(g is not None and float(scorer.cosines(*g).max()) >= least)
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -106,6 +106,30 @@ def test_language_profile_of_more_ngrams_than_the_table_holds():
         assert np.allclose(p.profile(codes, counts), want, atol=0.1)
 
 
+def test_language_scores_equal_cosines_of_profiles_beyond_the_table():
+    rng = random.Random(6)
+    p = langid.Profiler()
+    protos = np.stack([p.profile(*p.grams(t)) for t in ("the cat sat on the mat", "der hund und die katze")])
+    protos = (protos / np.linalg.norm(protos, axis=1, keepdims=True)).astype(np.float32)
+    scorer = langid.Scorer(p, protos)
+    for text in ("the dog sat", "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(2 * langid.TABLE_ROWS)) + " the cat", "the dog sat"):
+        g = p.grams(text)
+        if g is not None:
+            v = p.profile(*g)
+            assert np.allclose(scorer.cosines(*g), protos @ v / np.linalg.norm(v), atol=0.05)
+
+
+def test_unknown_languages_are_rejected_and_known_ones_kept(spark):
+    rng = random.Random(7)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    scripts = [(0x61, 0x7B), (0x430, 0x450), (0x3B1, 0x3CA), (0x4E00, 0x9F00)]
+    words = lambda lo, hi, n: " ".join("".join(chr(rng.randrange(lo, hi)) for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    junk = [(-1 - i, words(*scripts[i % 4], (20, 200)[i // 4 % 2]), None) for i in range(80)]
+    kept = langid.keep_known(docs.unionByName(spark.createDataFrame(junk, "doc_id long, text string, lang string"))).collect()
+    assert sum(r.doc_id < 0 for r in kept) <= 1
+    assert sum(r.doc_id >= 0 for r in kept) >= 0.98 * docs.where("text rlike '[a-z]'").count()
+
+
 # Lines and near duplicates
 
 
