@@ -24,7 +24,8 @@ ERROR_RATE = 0.08
 #: Items of one automaton; more items take more passes over the texts, not more memory.
 BLOCK_ITEMS = 20_000
 
-MATCHES = "doc_id long, contaminated boolean, n_items long, least_errors int, item_ids array<long>"
+#: What is known of a row after some blocks; its text goes with it to the next block.
+FOUND = "doc_id long, item_ids array<long>, least_errors int"
 
 _GAP = re.compile(r"[\W_]+")
 
@@ -85,7 +86,7 @@ class Matcher:
             self.automaton.make_automaton()
 
     def find(self, text: str | None) -> dict[int, int]:
-        """item id: errors, of the items that `text` holds within their budgets."""
+        """item id: least errors, of the items that `text` holds within their budgets."""
         found: dict[int, int] = {}
         tried: set[tuple[int, int]] = set()
         if not self.items or not (clean := normal(text)):
@@ -93,12 +94,12 @@ class Matcher:
         for end, (size, places) in self.automaton.iter(clean):
             for k, offset in places:
                 item, at = self.items[k], end + 1 - size - offset
-                if item.id in found or (k, at) in tried:
+                if found.get(item.id) == 0 or (k, at) in tried:
                     continue
                 tried.add((k, at))
                 errors = item.distance(clean[max(0, at - item.errors) : at + item.size + item.errors])
                 if errors <= item.errors:
-                    found[item.id] = errors
+                    found[item.id] = min(errors, found.get(item.id, errors))
         return found
 
 
@@ -133,29 +134,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) ->
     blocks, run_id = list(_blocks(benchmark)), uuid.uuid4().hex
     docs = docs.select(F.col("doc_id").cast("long"), "text")
 
-    def run(items: list[tuple[int, str]], name: str):
-        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = docs.withColumns({"item_ids": F.array().cast("array<long>"), "least_errors": F.lit(None).cast("int")})
+    for k, items in enumerate(blocks):
+        last = k == len(blocks) - 1
+
+        def run(batches: Iterator[pa.RecordBatch], items=items, name=f"{run_id}-{k}", last=last) -> Iterator[pa.RecordBatch]:
             m = _matcher(name, items, rate)
             for b in batches:
-                got = [m.find(t) for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": b.column(0),
-                    "contaminated": pa.array([bool(g) for g in got], pa.bool_()),
-                    "n_items": pa.array([len(g) for g in got], pa.int64()),
-                    "least_errors": pa.array([min(g.values(), default=None) for g in got], pa.int32()),
-                    "item_ids": pa.array([sorted(g) for g in got], pa.list_(pa.int64())),
-                })
-
-        return docs.mapInArrow(find, MATCHES)
-
-    if len(blocks) <= 1:
-        return run(blocks[0] if blocks else [], run_id)
-    found = None
-    for k, items in enumerate(blocks):
-        part = run(items, f"{run_id}-{k}")
-        found = part if found is None else found.unionByName(part)
-    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids"))))
-    return found.groupBy("doc_id").agg(F.bool_or("contaminated").alias("contaminated"), ids.alias("item_ids"), F.min("least_errors").alias("least_errors")).select("doc_id", "contaminated", F.size("item_ids").cast("long").alias("n_items"), "least_errors", "item_ids")
+                got = [m.find(t) for t in b.column("text").to_pylist()]
+                ids = [sorted({*known, *g}) for known, g in zip(b.column("item_ids").to_pylist(), got, strict=True)]
+                least = [min((x for x in (known, *g.values()) if x is not None), default=None) for known, g in zip(b.column("least_errors").to_pylist(), got, strict=True)]
+                out = {"doc_id": b.column("doc_id"), "item_ids": pa.array(ids, pa.list_(pa.int64())), "least_errors": pa.array(least, pa.int32())}
+                yield pa.RecordBatch.from_pydict(out if last else out | {"text": b.column("text")})
+
+        found = found.mapInArrow(run, FOUND if last else f"{FOUND}, text string")
+    n = F.size("item_ids").cast("long")
+    return found.select("doc_id", (n > 0).alias("contaminated"), n.alias("n_items"), "least_errors", "item_ids")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:

@@ -364,6 +364,20 @@ def test_myers_equals_dynamic_programming():
         assert decontam.Item(1, item, 0.1).distance(text) == edit_distance_in(item, text)
 
 
+def test_decontamination_by_several_blocks_keeps_rows_and_least_errors(spark, monkeypatch):
+    item = "the quick brown fox jumps over the lazy dog near the river bank"
+    bench = spark.createDataFrame([(1, item), (2, "a wholly different question about the height of a mountain"), (3, "and a third one that asks for the capital of some country")], "item_id long, text string")
+    bad = item.replace("quick", "quack").replace("lazy", "lizy")
+    rows = [(None, item), (None, "clean text"), (7, bad), (7, bad), (8, f"{bad} and then {item}"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = decontam.matches(docs, bench).collect()
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 2)
+    several = decontam.matches(docs, bench).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_items)
+    assert len(several) == len(rows) and sorted(several, key=key) == sorted(one, key=key)
+    assert [(r.doc_id, r.least_errors) for r in sorted(one, key=key)] == [(7, 2), (7, 2), (8, 0), (9, None), (None, None), (None, 0)]
+
+
 def test_decontamination_equals_brute_force(spark, odd, empty):
     rng = random.Random(9)
     items = [(i, "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(30, 90)))) for i in range(12)] + [(20, None), (21, " ,."), (22, "Tiny")]
