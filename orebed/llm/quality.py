@@ -17,7 +17,7 @@ from orebed.llm.common import ASCII_SPACE, constant_array, let, positions, table
 #: Hash buckets of the n-grams; the model is one array of this size.
 BUCKETS = 1 << 14
 
-#: At most this many trusted documents (those of the smallest id hashes) are used, every other one to fit the trusted multinomial, the rest to set the threshold; their ids are broadcast.
+#: At most half this many trusted documents (of every other one, those of the smallest id hashes) fit the trusted multinomial; their ids are broadcast. All the rest set the threshold.
 TRUSTED = 20_000
 
 #: Added to every count, so that rare buckets say little.
@@ -78,14 +78,24 @@ def buckets(w: Column) -> Column:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """doc_id of at most TRUSTED documents labelled of good quality, and never of bad; `fits`: whether it fits the model."""
-    good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).select("doc_id", (F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(2)) == 0).alias("fits"))
+    """doc_id of every document labelled of good quality, and never of bad."""
+    return labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+
+
+def fitting_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of the trusted documents that fit the model, at most TRUSTED / 2."""
+    half = trusted_ids(labels).where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(2)) == 0)
+    return half.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED // 2)
+
+
+def setting_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of the trusted documents that set the threshold: all that don't fit the model."""
+    return trusted_ids(labels).join(F.broadcast(fitting_ids(labels)), "doc_id", "left_anti")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> list[float]:
     """log(trusted / corpus) of every bucket, smoothed; the corpus counts cover all documents."""
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted_ids(labels)), "doc_id", "left")
+    marked = docs.select("doc_id", "text").join(F.broadcast(fitting_ids(labels).withColumn("fits", F.lit(True))), "doc_id", "left")
     grams = marked.select("fits", F.explode(let(words(F.col("text")), buckets)).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count_if("fits").alias("good")).collect()
     raw, good = [SMOOTHING] * BUCKETS, [SMOOTHING] * BUCKETS
@@ -115,9 +125,9 @@ def measure(docs: DataFrame, model: list[float]) -> DataFrame:
     return d.withColumn("base_failed", failed)
 
 
-def threshold(measured: DataFrame, labels: DataFrame) -> float:
-    """MARGIN below the highest multiple of STEP that PASS_SHARE of the scores of the trusted documents that don't fit reach; -inf without any."""
-    seen = measured.where("NOT base_failed").join(F.broadcast(trusted_ids(labels).where("NOT fits")), "doc_id")
+def threshold(measured: DataFrame) -> float:
+    """MARGIN below the highest multiple of STEP that PASS_SHARE of the scores of the measured documents reach; -inf without any."""
+    seen = measured.where("NOT base_failed")
     bins = seen.groupBy(F.floor(F.col("score") / STEP).alias("bin")).agg(F.count("*").alias("n")).orderBy("bin").collect()
     left = (1 - PASS_SHARE) * sum(n for _, n in bins)
     for at, n in bins:
@@ -136,7 +146,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     model = fit(docs, labels)
     measured = measure(docs, model)
-    least = threshold(measure(docs.join(F.broadcast(trusted_ids(labels).where("NOT fits").select("doc_id")), "doc_id", "left_semi"), model), labels)
+    least = threshold(measure(docs.join(setting_ids(labels), "doc_id", "left_semi"), model))
     kept = ~F.col("base_failed") & (F.col("score") >= least)
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score")
 

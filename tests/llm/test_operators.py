@@ -299,6 +299,13 @@ def test_quality_counts_equal_brute_force(spark, odd, empty):
     assert quality.judge(odd, labels.limit(0)).count() == len(ODD)
 
 
+def test_quality_threshold_rests_on_every_trusted_document_that_does_not_fit(spark, monkeypatch):
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(400)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "TRUSTED", 20)
+    fits, sets = ({r.doc_id for r in x.collect()} for x in (quality.fitting_ids(labels), quality.setting_ids(labels)))
+    assert len(fits) == 10 and not fits & sets and fits | sets == {i for i in range(400) if i % 10}
+
+
 def test_quality_tells_labelled_documents_apart(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.judge(docs, labels).where("NOT base_failed").join(labels, "doc_id").collect()
