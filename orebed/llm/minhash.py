@@ -7,7 +7,7 @@ chance collisions, and every link is confirmed on the whole shingle sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,18 +15,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebed.llm.common import table
-from orebed.llm.linkage import link, pack
+from orebed.llm.common import slices, table
+from orebed.llm.linkage import DEALT, Dealer, estimate, link, pack, partitions, signatures
 from orebed.storage import materialize
 
 #: Words of a shingle; bands and rows a band (a pair of similarity 0.8 is missed five times in a million); minima kept as b bits.
-SHINGLE, BANDS, ROWS, PACKED = 5, 40, 6, 192
+SHINGLE, BANDS, ROWS, PACKED = 5, 40, 6, 96
 
 #: Percent of similarity that links by default, and how far (of 1) a b-bit estimate may fall short: five standard errors.
-PERCENT, SLACK = 80, 0.16
+PERCENT, SLACK = 80, 0.22
 
 #: Word hashes that a worker keeps.
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 17
 
 _rng = np.random.default_rng(5)
 _XOR = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
@@ -79,25 +79,37 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     h = np.arange(BANDS, dtype=np.uint64)
     for j in range(ROWS):
         h = mix(h * _STEP + m.reshape(BANDS, ROWS)[:, j])
-    return h.view(np.int64)
+    return h
+
+
+SIGNED = "doc_id long, n long, p long, q long, bands binary, sig binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n, one, two, bands = [], [], [], []
+    for b in slices(batches):
+        n, one, two, bands, sig = [], [], [], [], []
         for text in b.column(1).to_pylist():
             s = shingles(text)
+            m = minima(s) if len(s) else None
             n.append(len(s))
-            one.append(int(s.sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
+            one.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
             two.append(int(np.bitwise_xor.reduce(mix(s)).astype(np.int64)) if len(s) else 0)
-            bands.append(band_keys(minima(s)) if len(s) else None)
-        yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array(n, pa.int64()), "p": pa.array(one, pa.int64()), "q": pa.array(two, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+            bands.append(None if m is None else band_keys(m).tobytes())
+            sig.append(None if m is None else pack(m[:PACKED]).tobytes())
+        yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array(n, pa.int64()), "p": pa.array(one, pa.int64()), "q": pa.array(two, pa.int64()), "bands": pa.array(bands, pa.binary()), "sig": pa.array(sig, pa.binary())})
+
+
+def _deal(count: int, least: float) -> Callable:
+    """DEALT rows of (doc_id, bands, sig)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealer = Dealer(count, PACKED // 32, least, estimate)
+        for b in batches:
+            if b.num_rows:
+                yield from dealer.add(signatures(b.column(1)), b.column(0).to_numpy(zero_copy_only=False), signatures(b.column(2)))
+        yield from dealer.flush()
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sig = [pack(minima(shingles(t))[:PACKED]).view(np.int64) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_pydict({"id": b.column(0), "text": b.column(1), "sig": pa.array(sig, pa.list_(pa.int64()))})
+    return run
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -110,21 +122,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     that is compared. Whole texts are read; other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = materialize(docs.mapInArrow(_sign, "doc_id long, n long, p long, q long, bands array<long>"), "signed")
+    least = percent / 100 - SLACK
+    signed = materialize(docs.mapInArrow(_sign, SIGNED), "signed")
     real = signed.where("n > 0 AND doc_id IS NOT NULL")
     sets = materialize(real.groupBy("n", "p", "q").agg(F.min("doc_id").alias("rep")), "sets")
-    first = real.select("doc_id", "n", "p", "q", "bands").join(sets.withColumnRenamed("rep", "doc_id"), ["n", "p", "q", "doc_id"], "left_semi")
-    members = first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
+    # rows of one id and one set have equal bands; texts that differ under one id are settled by `texts`
+    first = real.select("doc_id", "n", "p", "q", "bands", "sig").join(sets.withColumnRenamed("rep", "doc_id"), ["n", "p", "q", "doc_id"], "left_semi")
 
-    def describe(ids: DataFrame) -> DataFrame:
-        texts = docs.join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi")
-        return texts.groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(_pack, "id long, text string, sig array<long>")
+    def texts(ids: DataFrame) -> DataFrame:
+        found = docs.join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi")
+        return found.groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "id")
 
     def similar(a: np.ndarray, b: np.ndarray) -> bool:
         both = len(np.intersect1d(a, b, assume_unique=True))
         return 100 * both >= percent * (len(a) + len(b) - both)
 
-    found = link(members, describe, shingles, similar, percent / 100 - SLACK)
+    found = link(first.select("doc_id", "bands", "sig").mapInArrow(_deal(partitions(docs), least), DEALT), texts, shingles, similar, least, PACKED // 32)
     sets = sets.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n", "p", "q", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n", "p", "q").join(sets, ["n", "p", "q"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import random
 import re
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orebed.llm import chat_format, decontam, langid, line_dedup, linkage, minhash, packing, quality, secret_scan, url_filter, warc
+from orebed.llm import chat_format, decontam, langid, line_dedup, minhash, packing, quality, secret_scan, url_filter, warc
 from orebed.llm.components import connected_components
 from orebed.llm.registry import ORACLE_SQL, QUERIES
 from tests.conftest import DATA
@@ -133,39 +134,77 @@ def test_unknown_languages_are_rejected_and_known_ones_kept(spark):
 # Lines and near duplicates
 
 
-def test_lines_equal_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
-    got = {(r.doc_id, r.line_no): (r.component_doc_id, r.component_line_no) for r in line_dedup.repeated_lines(docs).collect()}
-    lines = [((d, k), n) for d, t in docs.select("doc_id", "text").collect() for k, x in enumerate((t or "").split("\n")) if (n := line_dedup.normal(x))]
-    sets = {p: set(x[i : i + 5] for i in range(max(1, len(x) - 4))) for p, x in lines}
-    links = [(a, b) for i, (a, _) in enumerate(lines) for b, _ in lines[:i] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    want = union_find(sets, links)
-    linked = {x for p in links for x in p}
-    assert got == {p: c for p, c in want.items() if p in linked}
-
-
-def test_short_lines_that_share_a_band_are_linked_whatever_the_estimate(spark):
+def brute_lines(rows, percent=80):
+    """Counter of (doc_id, line_no, component's doc_id and line_no, kept) for rows (doc_id, text)."""
+    lines = [((d, k), n) for d, t in rows for k, x in enumerate((t or "").split("\n")) if (n := line_dedup.normal(x))]
+    text = {}
+    for _, n in lines:
+        text.setdefault(n, set(n[i : i + 5] for i in range(max(1, len(n) - 4))))
+    names = list(text)
+    links = [(a, b) for i, a in enumerate(names) for b in names[:i] if 100 * len(text[a] & text[b]) >= percent * len(text[a] | text[b])]
+    head = union_find(names, links)
+    order = lambda p: (p[0] is not None, p[0] or 0, p[1])
+    first = {}
+    for p, n in lines:
+        c = head[n]
+        first[c] = min(first.get(c, p), p, key=order)
+    return collections.Counter((*p, *first[head[n]], p == first[head[n]]) for p, n in lines)
+
+
+def test_line_query_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60").select("doc_id", "text")
+    rng = random.Random(12)
+    base = "the committee of the house met at noon to read the report on the bridge"
+    near = lambda: "".join(rng.choice("xyz") if rng.random() < 0.012 else c for c in base)
+    made = [(700 + i, "\n".join([near(), "  THE Committee   of the house", near()])) for i in range(120)]  # a crowded group
+    made += [(900, made[0][1]), (900, made[0][1]), (None, made[3][1]), (None, made[3][1]), (901, ""), (902, None), (903, " \n\n")]
+    rows = [tuple(r) for r in docs.collect()] + made
+    got = line_dedup.placed_lines(docs.unionByName(spark.createDataFrame(made, "doc_id long, text string").repartition(5))).collect()
+    assert collections.Counter(map(tuple, got)) == brute_lines(rows)
+
+
+def test_line_links_of_every_length_are_found(spark):
     rng = random.Random(8)
     draw = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
-    pairs = [(x, x[:-1]) for n in (9, 9, 12, 22) for x in (draw(n) for _ in range(400))] + [(x, x[:-1] + "#") for n in (14, 24, 34) for x in (draw(n) for _ in range(400))]
-    one, two = (line_dedup.sign([p[k] for p in pairs]) for k in (0, 1))
-    banded = (line_dedup.band_keys(one) == line_dedup.band_keys(two)).any(axis=1)
-    low = linkage.estimate(linkage.pack(one[:, : line_dedup.PACKED]), linkage.pack(two[:, : line_dedup.PACKED])) < 0.55
-    sets = [tuple(set(line_dedup.shingles(x).tolist()) for x in p) for p in pairs]
-    near = [p for p, (a, b), u in zip(pairs, sets, banded & low, strict=True) if u and 100 * len(a & b) >= 80 * len(a | b)]
-    assert len(near) >= 20
-    docs = spark.createDataFrame([(i, "\n".join(p)) for i, p in enumerate(near)], "doc_id long, text string")
-    assert line_dedup.repeated_lines(docs).count() == 2 * len(near)
+    pairs = []
+    while len(pairs) < 3000:
+        x = draw(rng.choice((6, 9, 12, 16, 22, 40, 66, 70, 120, 300)))
+        at = rng.randrange(len(x))
+        y = x[:at] + rng.choice("#%") * rng.randrange(1, 3) + x[at + rng.randrange(2) :]
+        a, b = (set(line_dedup.shingles(z).tolist()) for z in (x, y))
+        if 100 * len(a & b) >= 80 * len(a | b):
+            pairs.append((x, y))
+    docs = spark.createDataFrame([(i, "\n".join(p)) for i, p in enumerate(pairs)], "doc_id long, text string")
+    found = line_dedup.placed_lines(docs).where("NOT kept").collect()
+    assert all(r.component_doc_id == r.doc_id and r.component_line_no == 0 for r in found)
+    assert len(found) >= 0.99 * len(pairs)
 
 
 def test_most_similar_is_never_under_the_similarity_of_short_lines():
     rng = random.Random(9)
-    lines = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 40))) for _ in range(400)]
-    told = line_dedup.describe_lines(lines)
+    lines = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 80))) for _ in range(400)]
+    _, told = line_dedup.sign(lines)
     sets = [set(line_dedup.shingles(x).tolist()) for x in lines]
+    long = [len(x) - 4 > line_dedup.SHORT for x in lines]
     for k in range(len(lines)):
         most = line_dedup.most_similar(told, told[k])
-        assert all(m >= len(s & sets[k]) / len(s | sets[k]) - 1e-9 for m, s in zip(most, sets, strict=True))
+        assert all(m >= len(s & sets[k]) / len(s | sets[k]) - 1e-9 for m, s, w in zip(most, sets, long, strict=True) if not (w and long[k]))
+
+
+def test_estimate_of_long_lines_stays_within_its_slack():
+    rng = random.Random(10)
+    low = n = 0
+    for _ in range(1500):
+        x = "".join(rng.choice("abcdefghij ") for _ in range(rng.randrange(70, 400)))
+        y = list(x)
+        for _ in range(max(1, len(x) // 50)):
+            y[rng.randrange(len(y))] = "#"
+        x, y = line_dedup.normal(x), line_dedup.normal("".join(y))
+        a, b = (set(line_dedup.shingles(z).tolist()) for z in (x, y))
+        if 100 * len(a & b) >= 80 * len(a | b):
+            _, (p, q) = line_dedup.sign([x, y])
+            n, low = n + 1, low + int(line_dedup.most_similar(p, q) < 0.8)
+    assert n > 300 and low <= 1
 
 
 def test_line_dedup_of_odd_texts(spark, odd, empty):
