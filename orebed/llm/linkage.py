@@ -246,17 +246,19 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
 
 def _likely_pairs(ids: np.ndarray, comp: np.ndarray, outside: np.ndarray, left: np.ndarray, sig: np.ndarray, least: float, likely: Callable) -> tuple[np.ndarray, ...]:
     """(likeness, i, j) of a cell's left rows with its right ones, of different components; two outsiders once."""
-    right = np.flatnonzero(~left)
+    rows, right = np.flatnonzero(left), np.flatnonzero(~left)
     near, one, two = [], [], []
-    for i in np.flatnonzero(left).tolist():
-        j = right[(comp[right] != comp[i]) & (~outside[right] | (ids[right] > ids[i]))]
-        if len(j):
-            e = likely(sig[j], sig[i])
-            hit = np.flatnonzero(e >= least)
-            if len(hit):
-                near.append(e[hit])
-                one.append(np.full(len(hit), i))
-                two.append(j[hit])
+    step = max(1, (1 << 16) // max(1, len(right)))
+    for lo in range(0, len(rows), step):
+        i = rows[lo : lo + step]
+        apart = (comp[i][:, None] != comp[right]) & (~outside[right] | (ids[right] > ids[i][:, None]))
+        p, q = np.nonzero(apart)
+        if len(p):
+            e = likely(sig[right[q]], sig[i[p]])
+            hit = e >= least
+            near.append(e[hit])
+            one.append(i[p[hit]])
+            two.append(right[q[hit]])
     if not near:
         return np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(near), np.concatenate(one), np.concatenate(two)
