@@ -2,8 +2,8 @@
 
 Documents are tokenized where they lie; only the pieces' lengths are shuffled. Blocks of pieces, dealt by hash
 and of a bounded size whatever the input, are packed one by one: best-fit decreasing gives the start, then the
-search takes the emptiest bins and moves documents into other underfull bins, or exchanges one for one, one for
-two or two for one, as long as the sum of squared fills grows, until bins run empty.
+search fills underfull bins from emptier ones by moves and by exchanges one for one, two for one or one for two,
+as long as the sum of squared fills grows, until bins run empty and nothing is left to exchange.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,6 @@ CAPACITY, END_ID, TOKENIZER = 2048, 0, "byte_bpe_50k.json"
 #: Pieces of a block on average.
 BLOCK = 8192
 
-#: Underfull bins that the search looks at for a bin that it tries to empty, and its rounds at most.
-NEIGHBOURS, SEARCH_ROUNDS = 64, 50
-
 #: Pre-tokens whose ids a worker keeps.
 CACHED = 1 << 20
 
@@ -152,48 +150,83 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(a: list[int], b: list[int], room: int, gap: int, sizes: list[int]) -> tuple[list[int], list[int]] | None:
-    """What to take from a and from b so that b, fuller than a by `gap` or more, gains most within its room.
+class _BySize:
+    """Documents, or pairs of one bin, by size: the largest of at most some size whose bin has not been dropped."""
+
+    def __init__(self, entries: list[tuple[int, tuple[int, ...], int]]) -> None:
+        self.entries = sorted(entries)
+        self.sizes = [e[0] for e in self.entries]
+        self.below = list(range(len(entries) + 1))  # each place's next one downwards that is left; 0 is none
+        self.places: dict[int, list[int]] = {}
+        for k, (_, _, b) in enumerate(self.entries, 1):
+            self.places.setdefault(b, []).append(k)
+
+    def at_most(self, size: int) -> tuple[int, tuple[int, ...], int] | None:
+        k = bisect_right(self.sizes, size)
+        top = k
+        while self.below[top] != top:
+            top = self.below[top]
+        while self.below[k] != top:
+            self.below[k], k = top, self.below[k]
+        return self.entries[top - 1] if top else None
+
+    def drop(self, b: int) -> None:
+        for k in self.places.pop(b, ()):
+            self.below[k] = k - 1
+
 
-    Every gain makes the sum of squares grow, since the fuller bin gets fuller. Tried: a move, one for one, one
-    for two, two for one.
+def _pairs(b: list[int], sizes: list[int]) -> list[tuple[int, tuple[int, ...]]]:
+    return [(sizes[i] + sizes[j], (i, j)) for k, i in enumerate(b) for j in b[k + 1 :]]
+
+
+def _best_exchange(b: list[int], room: int, sizes: list[int], ones: _BySize, twos: _BySize) -> tuple[int, tuple[int, ...], tuple[int, ...], int] | None:
+    """(gain, what b gives, what it takes, from which bin) of the move or exchange that fills b most; None if there is none.
+
+    Tried: nothing for one, one for one, two for one, and one for two.
     """
-    best, gain = None, 0
-    ones = [([i], sizes[i]) for i in a]
-    twos = [([i, j], sizes[i] + sizes[j]) for k, i in enumerate(a) for j in a[k + 1 :]]
-    back = [([], 0)] + [([i], sizes[i]) for i in b]
-    backs = [([i, j], sizes[i] + sizes[j]) for k, i in enumerate(b) for j in b[k + 1 :]]
-    for give, take in ((ones, back), (ones, backs), (twos, back[1:])):
-        for x, n in give:
-            for y, m in take:
-                if gain < n - m <= room and n - m + gap > 0:
-                    best, gain = (x, y), n - m
+    best = None
+    for lost, give in [(0, ()), *((sizes[i], (i,)) for i in b), *_pairs(b, sizes)]:
+        for pool in (ones, twos) if len(give) == 1 else (ones,):
+            found = pool.at_most(lost + room)
+            if found and found[0] - lost > (best[0] if best else 0):
+                best = (found[0] - lost, give, found[1], found[2])
+                if best[0] == room:
+                    return best
     return best
 
 
 def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Fewer bins, if moves and exchanges between underfull ones can empty any; every index stays in one bin."""
+    """Fewer bins, if moves and exchanges between underfull ones empty any; every index stays in one bin.
+
+    A pass takes the underfull bins from the fullest on and fills each from emptier ones that the pass has not
+    changed yet, by the exchange that leaves least room. Every exchange makes the fuller of two bins fuller, so
+    the sum of squared fills grows and the passes come to an end: that in which nothing can be exchanged, or
+    in which no fewer bins could hold the sizes.
+    """
+    bins = [list(b) for b in bins]
     fill = [sum(sizes[i] for i in b) for b in bins]
-    open_bins = [k for k, f in enumerate(fill) if f < capacity]
-    for _ in range(SEARCH_ROUNDS):
-        open_bins = sorted((k for k in open_bins if 0 < fill[k] < capacity), key=lambda k: fill[k])
-        if len(open_bins) < 2 or sum(capacity - fill[k] for k in open_bins) < capacity:
-            break
-        source, moved = open_bins[0], False
-        for target in open_bins[1 : 1 + NEIGHBOURS] + open_bins[1 + NEIGHBOURS :][-NEIGHBOURS:]:
-            while fill[target] < capacity and bins[source]:
-                step = _exchange(bins[source], bins[target], capacity - fill[target], fill[target] - fill[source], sizes)
-                if step is None:
+    least = -(-sum(fill) // capacity)
+    moved = True
+    while moved and sum(f > 0 for f in fill) > least:
+        moved, gave = False, set()
+        underfull = sorted((k for k, f in enumerate(fill) if 0 < f < capacity), key=lambda k: -fill[k])
+        ones = _BySize([(sizes[i], (i,), k) for k in underfull for i in bins[k]])
+        twos = _BySize([(n, pair, k) for k in underfull for n, pair in _pairs(bins[k], sizes)])
+        for b in underfull:
+            if b in gave:
+                continue
+            ones.drop(b)
+            twos.drop(b)
+            while step := _best_exchange(bins[b], capacity - fill[b], sizes, ones, twos):
+                gain, give, take, a = step
+                bins[b] = [i for i in bins[b] if i not in give] + list(take)
+                bins[a] = [i for i in bins[a] if i not in take] + list(give)
+                fill[b], fill[a], moved = fill[b] + gain, fill[a] - gain, True
+                gave.add(a)
+                ones.drop(a)
+                twos.drop(a)
+                if fill[b] == capacity:
                     break
-                give, take = step
-                bins[source] = [i for i in bins[source] if i not in give] + take
-                bins[target] = [i for i in bins[target] if i not in take] + give
-                change = sum(sizes[i] for i in give) - sum(sizes[i] for i in take)
-                fill[source], fill[target], moved = fill[source] - change, fill[target] + change, True
-            if not bins[source]:
-                break
-        if not moved:
-            open_bins = open_bins[1:]
     return [b for b in bins if b]
 
 
