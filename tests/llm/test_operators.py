@@ -12,8 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orebed.llm import chat_format, decontam, langid, line_dedup, minhash, packing, quality, secret_scan, url_filter, warc
-from orebed.llm.components import connected_components
+from orebed.llm import chat_format, components, decontam, langid, line_dedup, minhash, packing, quality, secret_scan, url_filter, warc
 from orebed.llm.registry import ORACLE_SQL, QUERIES
 from tests.conftest import DATA
 from tests.parity import assert_same, duck
@@ -66,13 +65,18 @@ def test_query_agrees_with_sql(spark, name):
     assert_same(QUERIES[name](spark, SF), duck(SF), ORACLE_SQL[name])
 
 
-def test_components_equal_union_find(spark):
+@pytest.mark.parametrize("finish", [0, 40, components.FINISH])
+def test_components_equal_union_find(spark, monkeypatch, finish):
+    """Settled by one task, by contraction alone, and by both; a path, a star, loops, repeats and nulls."""
+    monkeypatch.setattr(components, "FINISH", finish)
     rng = random.Random(1)
-    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
-    got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 560)] * 2 + [(7, 7)]
+    df = spark.createDataFrame([*links, (None, 3), (3, None)], "a long, b long").repartition(5)
+    got = components.connected_components(df).collect()
     ids = {x for a, b in links if a != b for x in (a, b)}
-    assert got == {i: c for i, c in union_find({x for p in links for x in p}, links).items() if i in ids}
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert len(got) == len(ids)
+    assert {r.id: r.component for r in got} == {i: c for i, c in union_find({x for p in links for x in p}, links).items() if i in ids}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 # Language ID
@@ -306,14 +310,52 @@ def test_encoder_agrees_with_the_tokenizer():
         assert enc.encode(t) == enc.tokenizer.encode(t, add_special_tokens=False).ids
 
 
-def test_local_search_keeps_every_piece_and_saves_bins():
+@pytest.mark.parametrize(("low", "high", "saved"), [(500, 1100, 40), (300, 900, 15), (650, 1400, 0)])
+def test_local_search_saves_bins_where_best_fit_wastes_them(low, high, saved):
+    rng = random.Random(2)
+    sizes = [rng.randrange(low, high) for _ in range(4000)]
+    start = packing.best_fit(sizes, 2048)
+    better = packing.local_search(start, sizes, 2048)
+    assert sorted(i for b in better for i in b) == list(range(4000))
+    assert all(sum(sizes[i] for i in b) <= 2048 for b in better)
+    assert len(better) <= len(start) - saved
+
+
+def fewest_bins(sizes, capacity):
+    """The least number of bins, by trying every placement."""
+    sizes, best = sorted(sizes, reverse=True), len(sizes)
+
+    def place(k, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if k == len(sizes):
+            best = len(fills)
+            return
+        for j in range(len(fills)):
+            if fills[j] + sizes[k] <= capacity and fills[j] not in fills[:j]:
+                place(k + 1, [*fills[:j], fills[j] + sizes[k], *fills[j + 1 :]])
+        place(k + 1, [*fills, sizes[k]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_against_the_fewest_bins_of_small_inputs():
+    rng = random.Random(3)
+    start, found, fewest = 0, 0, 0
+    for _ in range(150):
+        sizes = [rng.randrange(20, 60) for _ in range(11)]
+        start += len(first := packing.best_fit(sizes, 100))
+        found += len(packing.local_search(first, sizes, 100))
+        fewest += fewest_bins(sizes, 100)
+    assert fewest <= found < start and found - fewest <= 0.02 * fewest
+
+
+def test_local_search_from_a_bin_a_piece_reaches_the_bound():
     rng = random.Random(2)
     sizes = [rng.randrange(1, 60) for _ in range(400)]
-    start = [[i] for i in range(400)]
-    better = packing.local_search(start, sizes, 100)
-    assert sorted(i for b in better for i in b) == list(range(400)) and len(better) < 400
-    assert all(sum(sizes[i] for i in b) <= 100 for b in better)
-    assert packing._exchange([0], [1], 5, 0, [50, 46]) == ([0], [1])
+    assert len(packing.local_search([[i] for i in range(400)], sizes, 100)) == -(-sum(sizes) // 100)
 
 
 # Quality rules
