@@ -26,7 +26,7 @@ from orebed.storage import forget, materialize
 BLOCK = 512
 
 #: Rows that a task packs and sends together; slots of keys a partition; members from which a bucket within one task is sent as a star; buckets up to which unlike members are compared at once.
-HELD, SLOTS, CROWDED, SMALL = 1 << 19, 16, 32, 4096
+HELD, SLOTS, CROWDED, SMALL = 1 << 19, 4, 32, 4096
 
 LOW_BITS = np.uint64(0x5555555555555555)
 
