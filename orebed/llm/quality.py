@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orebed.llm.common import ASCII_SPACE, constant_array, let, positions, table
+from orebed.storage import materialize
 
 #: Hash buckets of the n-grams; the model is one array of this size.
 BUCKETS = 1 << 14
@@ -145,8 +146,8 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     columns are ignored. Long texts are read whole; the counts of the corpus cover every document.
     """
     model = fit(docs, labels)
-    measured = measure(docs, model)
-    least = threshold(measure(docs.join(setting_ids(labels), "doc_id", "left_semi"), model))
+    measured = materialize(measure(docs, model), "measured")  # small rows: the texts themselves meet no join
+    least = threshold(measured.join(setting_ids(labels), "doc_id", "left_semi"))
     kept = ~F.col("base_failed") & (F.col("score") >= least)
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score")
 
