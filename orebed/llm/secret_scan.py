@@ -128,68 +128,97 @@ class CharCNN:
         return 1 / (1 + np.exp(-(self.scale * z + self.shift)))
 
 
+# Words of four languages, for harmless runs; common ones, the long ones among them as long as a candidate.
+WORDS = """people because different important government development information environment relationship understanding
+responsibility international communication organization particularly university administration opportunities
+the and with from that have this water house letter music river garden window history science project server backup
+report archive account customer invoice morning between without another question example number system
+und der die das nicht werden haben eine zwischen Wissenschaft Gesellschaft Entwicklung Geschwindigkeit Zusammenarbeit
+Veranstaltung selbstverständlich Krankenversicherung Bundesregierung Möglichkeiten Haus Wasser Strasse Fenster Arbeit
+que los las para como pero también desarrollo conocimiento universidad importante administración comunicación
+posibilidades casa agua ventana trabajo ciudad escuela hermano
+les des une pour dans avec mais gouvernement développement connaissance malheureusement environnement établissement
+aujourd maison fenêtre travail ville école frère""".split()
+
+ONSETS = "b c d f g h j k l m n p r s t v w z bl br ch cl cr dr fl fr gl gr kn pf pl pr qu sch sh sp st str th tr wh".split()
+VOWELS = "a e i o u ai au ea ee ei eu ia ie io oa oi ou ue".split()
+CODAS = ["", "", "", *"b ck d f g k l ll lt m n nd ng nt p r rd rs rt s ss st t tion tz x ch cht".split()]
+
+
 def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label): secrets and harmless strings in varied surroundings, made from a seed."""
+    """(text, start, end, label): secrets and harmless strings in varied surroundings, made from a seed.
+
+    Harmless are words, invented words, shouted and run together ones, names of files, hosts and paths, numbers,
+    dates, versions, addresses and rules of punctuation.
+    """
     rng = np.random.default_rng(seed)
-    syllables = "an ter ing ver lo que ción es der und le ment ra on to sch ar en he ri".split()
     alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    letters = alnum[:52]
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
     draw = lambda chars, k: "".join(chars[i] for i in rng.integers(0, len(chars), k))
-    word = lambda: "".join(syllables[i] for i in rng.integers(0, len(syllables), rng.integers(1, 5)))
+    invented = lambda k: "".join(pick(ONSETS) + pick(VOWELS) + pick(CODAS) for _ in range(k))
+    word = lambda: pick(WORDS) if rng.random() < 0.5 else invented(rng.integers(1, 4))
     num = lambda lo, hi: str(rng.integers(lo, hi))
-    parts = "the and of to in er on an re he at en nd ti es or te is it ar al le de que los las des les ent eau oux eux ion tion ment elle aux pre con per pro com der die das und ung heit keit lich sch ein auf ver ge be ly ing ness able ble ous ful wh th st nt pf tz ch str sp qu ia io ado mente aje cion era ido ha was with that this from".split()
-    plain = lambda n: "".join(parts[i] for i in rng.integers(0, len(parts), n))
-    cased = lambda x: (x, x, x, x.capitalize(), x.upper())[rng.integers(5)]
-    phrase = lambda sep, n: sep.join(cased(word()) for _ in range(n))
-    letters = alnum[:52]
+    cased = lambda x: pick((x, x, x, x.capitalize(), x.upper()))
+    phrase = lambda sep, k: sep.join(cased(word()) for _ in range(k))
+    stop = lambda: pick(("", "", ".", "..."))
     secret = [
         lambda: draw("0123456789abcdef", rng.integers(20, 65)),
         lambda: draw("0123456789ABCDEF", rng.integers(20, 65)),
         lambda: draw(alnum, rng.integers(16, 50)),
         lambda: base64.b64encode(rng.bytes(rng.integers(14, 48))).decode(),
-        lambda: "sk_live_" + draw(alnum, 24),
+        lambda: pick(("sk_live_", "sk-", "ghp_", "xoxb-", "glpat-")) + draw(alnum, rng.integers(20, 37)),
         lambda: "AKIA" + draw(alnum[:26] + "0123456789", 16),
         lambda: ".".join(draw(alnum + "_-", rng.integers(15, 40)) for _ in range(3)),
         lambda: draw(alnum[26:] + "_-", rng.integers(18, 40)),
         lambda: draw(letters, rng.integers(14, 40)),
         lambda: draw(letters[:26], rng.integers(16, 40)),
         lambda: draw(letters[26:], rng.integers(16, 40)),
-        lambda: phrase("-_."[rng.integers(3)], rng.integers(4, 7)),
+        lambda: phrase(pick("-_."), rng.integers(4, 7)),
     ]
+    address = lambda: ".".join(num(0, 256) for _ in range(4))
+    date = lambda: pick((f"{num(1990, 2031)}-{num(1, 13):0>2}-{num(1, 29):0>2}", f"{num(1, 29):0>2}.{num(1, 13):0>2}.{num(1990, 2031)}"))
     harmless = [
+        *[lambda: cased(invented(rng.integers(3, 8))) + stop()] * 4,
+        *[lambda: cased("".join(word() for _ in range(rng.integers(2, 4)))) + stop()] * 3,
+        lambda: pick([w for w in WORDS if len(w) >= CANDIDATE_LENGTH]) + stop(),
+        lambda: phrase(pick("-_."), rng.integers(2, 7)),
+        lambda: word() + "".join(word().capitalize() for _ in range(rng.integers(1, 4))),
         lambda: f"{word()}{num(1, 99)}.{word()}.example.com",
-        lambda: f"{num(1990, 2030)}-{num(10, 13)}-{num(10, 29)}T{num(10, 24)}.{num(10, 60)}.{num(10, 60)}",
-        lambda: f"{word()}_{word()}_{num(1, 2030)}.{word()[:3]}",
+        lambda: f"{pick(('www', 'mail', 'cdn', 'm'))}.{word()}{pick('-.')}{word()}.{pick(('com', 'org', 'net', 'de', 'info'))}",
+        lambda: f"{date()}T{num(0, 24):0>2}.{num(0, 60):0>2}.{num(0, 60):0>2}",
+        lambda: f"{word()}-{date()}.{pick(('log', 'txt', 'csv', 'pdf', 'tar.gz'))}",
+        lambda: f"{word()}_{word()}_{num(1, 2030)}.{pick(('py', 'html', 'json', 'jpeg', 'docx'))}",
         lambda: f"{word()}-{num(1, 99)}-{word()}-{num(1, 99)}",
         lambda: draw("0123456789", rng.integers(12, 17)),
-        lambda: f"{num(1, 255)}.{num(1, 255)}.{num(1, 255)}.{num(100, 255)}",
-        lambda: f"{num(1, 99)}.{num(1, 999)}.{num(100, 999)}-{word()}.{num(1, 9)}",
+        *[address] * 3,
+        lambda: f"{address()}{pick('/.')}{num(8, 33)}",
+        lambda: f"{num(0, 100)}.{num(0, 100)}.{num(0, 1000)}-{pick(('beta', 'alpha', 'rc', 'dev', 'final'))}.{num(1, 9)}",
+        lambda: f"+{num(1, 99)}-{num(100, 1000)}-{num(100, 1000)}-{num(1000, 10000)}",
+        lambda: "".join("/" + word() for _ in range(rng.integers(2, 5))),
         lambda: f"/{word()}/{word()}/{num(1, 60000)}/{word()}",
-        lambda: f"{word()}{word()}{num(1, 10)}",
         lambda: f"{num(1, 10000)}{word()}{word()}{word()}",
+        lambda: pick("-=._/+") * int(rng.integers(12, 60)),
         lambda: "=" * int(rng.integers(8, 20)) + num(100, 10000) + "-" * 6,
-        *[lambda: cased(plain(rng.integers(4, 9))) + ("", "", ".")[rng.integers(3)]] * 4,
-        *[lambda: cased(word() + word() + word()) + ("", "", ".")[rng.integers(3)]] * 2,
-        lambda: phrase("-_."[rng.integers(3)], rng.integers(2, 7)),
-        lambda: plain(2) + "".join(plain(2).capitalize() for _ in range(rng.integers(1, 4))),
-        lambda: "/" + "/".join(plain(2) for _ in range(rng.integers(2, 5))),
-        lambda: "-=._"[rng.integers(4)] * int(rng.integers(12, 60)),
     ]
     lead = ["token = \"", "password: ", "api_key=", "secret='", "", "", "", "key ", "Bearer ", "see ", "at http://", "id ", "| ", "(", "@", "mail@"]
     cues = ["passphrase: ", "passphrase=\"", "Passphrase is ", "passphrase '"]  # what tells a passphrase from other words
+    around = lambda: " ".join(word() for _ in range(rng.integers(0, 8)))
     out = []
     while len(out) < n:
         label = int(rng.random() < 0.5)
         kinds = secret if label else harmless
-        kind = rng.integers(len(kinds))
+        kind = int(rng.integers(len(kinds)))
         core = kinds[kind]()
         if len(core) < CANDIDATE_LENGTH:
             continue
-        if label == 0 and rng.random() < 0.2:
-            core = f"mail{num(0, 100)}.{word()}.com" if rng.random() < 0.5 else ".".join(num(20, 256) for _ in range(4))
-            if len(core) < CANDIDATE_LENGTH:
+        if not RUN.fullmatch(core):  # words with letters beyond ASCII are cut to a run
+            runs = RUN.findall(core)
+            if not runs:
                 continue
-        before = " ".join(word() for _ in range(rng.integers(0, 8))) + " " + (cues[rng.integers(len(cues))] if label and kind == len(secret) - 1 else lead[rng.integers(len(lead))])
-        after = ['"', " ", "\n", ". ", ") "][rng.integers(5)] + " ".join(word() for _ in range(rng.integers(0, 8)))
+            core = runs[0]
+        before = around() + " " + pick(cues if label and kind == len(secret) - 1 else lead)
+        after = pick(('"', " ", "\n", "! ", ", ", ") ")) + around()
         out.append((before + core + after, len(before), len(before) + len(core), label))
     return out
 
@@ -199,9 +228,11 @@ def train(findings: list[tuple[str, int, int, int]] | None = None, recall: float
     findings = labelled_findings() if findings is None else findings
     rng = np.random.default_rng(SEED)
     net = CharCNN(rng)
-    x = np.stack([windows(t, s, e)[0] for t, s, e, _ in findings])
-    y = np.array([f[3] for f in findings], np.float32)
-    held = np.arange(len(y)) % 5 == 4
+    each = [windows(t, s, e) for t, s, e, _ in findings]  # every window, as the scan sees them
+    owner = np.repeat(np.arange(len(each)), [len(w) for w in each])
+    x = np.stack([row for w in each for row in w])
+    y = np.array([f[3] for f in findings], np.float32)[owner]
+    held = owner % 5 == 4
     xs, ys = x[~held], y[~held]
     m, v, step = {k: 0.0 for k in net.p}, {k: 0.0 for k in net.p}, 0
     for _ in range(ROUNDS):
@@ -217,7 +248,9 @@ def train(findings: list[tuple[str, int, int, int]] | None = None, recall: float
         d = 1 / (1 + np.exp(-(scale * z + shift))) - t
         scale, shift = scale - 0.05 * float((d * z).mean() + 1e-3 * scale), shift - 0.05 * float(d.mean())
     net.scale, net.shift = max(scale, 1e-3), shift
-    found = np.sort(net.probability(x[held])[t == 1])
+    whole = np.zeros(len(each))
+    np.maximum.at(whole, owner[held], net.probability(x[held]))
+    found = np.sort(whole[np.unique(owner[held & (y == 1)])])
     net.threshold = float(found[int((1 - recall) * len(found))]) if len(found) else 0.5
     return net
 

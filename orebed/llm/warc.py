@@ -7,6 +7,7 @@ in its range and reads past the end of the range to finish the last one.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -22,13 +23,16 @@ from orebed.llm.common import table
 from orebed.storage import new_path
 
 MAGIC = b"\x1f\x8b\x08"
+#: The version written; those read.
 VERSION = b"WARC/1.1\r\n"
+VERSIONS = (VERSION, b"WARC/1.0\r\n")
 
 #: Payloads of fewer bytes are never written as revisits.
 REVISIT_BYTES = 1000
 
-#: Bytes of a reading task's range, and of one read.
-RANGE_BYTES, READ_BYTES = 16 << 20, 1 << 20
+#: Bytes of a reading task's range, and of one read, and of a member's start that must inflate to a WARC
+#: version; tasks of a read at most (each then takes several ranges).
+RANGE_BYTES, READ_BYTES, PROBE_BYTES, TASKS = 16 << 20, 1 << 20, 1024, 20_000
 
 WRITTEN = "path string, records long, bytes long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -66,34 +70,57 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_t
     return z.compress(VERSION + b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
-def decode_record(data: bytes) -> tuple:
-    """A RECORDS row of an inflated member."""
+def _hex_digest(value: str | None) -> str | None:
+    """The lower-case hex form of a `sha1:` digest in hex or base 32; None for others."""
+    value = (value or "").removeprefix("sha1:")
+    if re.fullmatch(r"[0-9a-fA-F]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch(r"[A-Za-z2-7]{32}", value) else None
+
+
+def decode_record(data: bytes) -> tuple | None:
+    """A RECORDS row of an inflated member; None for a record of another type than response and revisit.
+
+    A record shorter than its header says, or with a payload that its digest does not fit, raises ValueError.
+    """
     head, _, rest = data.partition(b"\r\n\r\n")
-    named = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
+    named = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])}
+    kind = named.get("warc-type")
+    if kind not in ("response", "revisit"):
+        return None
     ref = lambda key: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", named.get(key, ""))) else None
-    block = rest[: int(named["Content-Length"])]
+    size = int(named["content-length"])
+    block = rest[:size]
     http, _, payload = block.partition(b"\r\n\r\n")
-    kind = named["WARC-Type"]
-    length = int(re.search(rb"Content-Length: (\d+)", http)[1])
-    digest = named["WARC-Payload-Digest"].removeprefix("sha1:")
-    if kind == "response" and (len(payload) != length or hashlib.sha1(payload).hexdigest() != digest):
-        raise ValueError(f"record {named['WARC-Record-ID']}: the payload does not match its length and digest")
-    url = named.get("WARC-Target-URI")
-    return ref("WARC-Record-ID"), None if url is None else _value(url), kind, ref("WARC-Refers-To"), length, digest, payload if kind == "response" else None
+    stated = re.search(rb"(?im)^Content-Length:\s*(\d+)", http)
+    digest = _hex_digest(named.get("warc-payload-digest"))
+    if kind == "response":
+        own = hashlib.sha1(payload).hexdigest()
+        if len(block) != size or digest not in (None, own):
+            raise ValueError(f"record {named.get('warc-record-id')}: the payload does not match its length and digest")
+        length, digest = len(payload), own
+    else:
+        length = int(stated[1]) if stated else None
+    url = named.get("warc-target-uri")
+    return ref("warc-record-id"), None if url is None else _value(url), kind, ref("warc-refers-to"), length, digest, payload if kind == "response" else None
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, refers_to: of equal payloads of REVISIT_BYTES or more, the largest page_id is kept whole.
 
-    Only digests are grouped and, of those, only repeated ones are joined back: the aggregate combines before
-    its shuffle, and AQE broadcasts the repeated digests where they are small or splits a hot one where not.
+    Only digests of long payloads are grouped and, of those, only repeated ones are joined back: the aggregate
+    combines before its shuffle, and AQE broadcasts the repeated digests where they are small or splits a hot one
+    where not. Shorter payloads stay out of the join.
     Pages without a page_id are never revisits nor referred to.
     """
     p = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    p = p.withColumn("digest", F.when((F.length("payload") >= REVISIT_BYTES) & F.col("page_id").isNotNull(), F.sha1("payload")))
-    heads = p.where("digest IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("head"), F.min("page_id").alias("low")).where("head > low").select("digest", "head")
+    long = (F.length("payload") >= REVISIT_BYTES) & F.col("page_id").isNotNull()
+    short = p.where(~long).withColumn("refers_to", F.lit(None).cast("long"))  # these are no one's copies and meet no join
+    p = p.where(long).withColumn("digest", F.sha1("payload"))
+    heads = p.groupBy("digest").agg(F.max("page_id").alias("head"), F.min("page_id").alias("low")).where("head > low").select("digest", "head")
     p = p.join(heads, "digest", "left")
-    return p.select("page_id", "url", "payload", F.when(F.col("head") != F.col("page_id"), F.col("head")).alias("refers_to"))
+    p = p.select("page_id", "url", "payload", F.when(F.col("head") != F.col("page_id"), F.col("head")).alias("refers_to"))
+    return p.unionByName(short)
 
 
 def write_archives(pages: DataFrame, path: str) -> DataFrame:
@@ -126,55 +153,69 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
 
 
 def _own_records(store: fs.FileSystem, path: str, start: int, end: int) -> Iterator[tuple]:
-    """Rows of the records that start in [start, end) of one file."""
+    """Rows of the records that start in [start, end) of one file.
+
+    Magic bytes whose data do not inflate to a WARC header are no record and are passed over. A member with
+    such a header that cannot be inflated to its end is damaged and raises ValueError, with its place.
+    """
     with store.open_input_file(path) as f:
-        at, buf = start, b""  # buf: what was read from `at` on
+        base, buf = start, b""  # buf: what was read from `base` on
 
-        def grow() -> bool:
+        def more() -> bool:
             nonlocal buf
-            f.seek(at + len(buf))
-            more = f.read(READ_BYTES)
-            buf += more
-            return bool(more)
-
-        while at < end:
-            hit = buf.find(MAGIC)
+            f.seek(base + len(buf))
+            part = f.read(READ_BYTES)
+            buf += part
+            return bool(part)
+
+        at = 0  # in buf
+        while base + at < end:
+            hit = buf.find(MAGIC, at)
             if hit < 0:
-                keep = buf[-len(MAGIC) + 1 :]
-                at, buf = at + len(buf) - len(keep), keep
-                if at >= end or not grow():
+                at = max(at, len(buf) - len(MAGIC) + 1)
+                base, buf, at = base + at, buf[at:], 0
+                if base >= end or not more():
                     return
                 continue
-            at, buf = at + hit, buf[hit:]
-            if at >= end:
+            at = hit
+            if base + at >= end:
                 return
-            z, parts, fed, head = zlib.decompressobj(31), [], 0, b""
+            while len(buf) - at < PROBE_BYTES and more():
+                pass
             try:
-                while not z.eof:
-                    if fed == len(buf) and not grow():
-                        break
-                    parts.append(z.decompress(buf[fed:]))
-                    fed = len(buf)
-                    if len(head) < len(VERSION):
-                        head += parts[-1][: len(VERSION)]
-                        if not VERSION.startswith(head[: len(VERSION)]):
-                            break
+                head = zlib.decompressobj(31).decompress(buf[at : at + PROBE_BYTES], len(VERSION))
             except zlib.error:
                 head = b""
-            if z.eof and head[: len(VERSION)] == VERSION:
-                used = fed - len(z.unused_data)
-                at, buf = at + used, buf[used:]
-                yield decode_record(b"".join(parts))
-            else:
-                at, buf = at + 1, buf[1:]
+            if head not in VERSIONS:
+                at += 1
+                continue
+            z, parts, fed = zlib.decompressobj(31), [], at
+            try:
+                while not z.eof:
+                    if fed == len(buf) and not more():
+                        raise zlib.error("the file ends within it")
+                    chunk = buf[fed : fed + READ_BYTES]
+                    parts.append(z.decompress(chunk))
+                    fed += len(chunk)
+            except zlib.error as e:
+                raise ValueError(f"{path}: the record at byte {base + at} is damaged: {e}") from None
+            used = fed - len(z.unused_data)
+            base, buf, at = base + used, buf[used:], 0
+            if (row := decode_record(b"".join(parts))) is not None:
+                yield row
 
 
 def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """RECORDS of all archives below `path`; every record is read by the one task whose range it starts in."""
+    """RECORDS of all archives below `path`; every record is read by the one task whose range it starts in.
+
+    Records of types other than response and revisit (warcinfo, request, metadata and so on) give no row. A
+    record without an id of a page has a null page_id, one without a digest gets that of its payload, a revisit
+    without an HTTP length a null length. Damaged and cut-off records raise. No files and empty files give no rows.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "length")
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
     # as many tasks as ranges: rows this small would otherwise be put together into one
-    ranges = ranges.repartition(max(1, ranges.count()), F.col("path"), F.col("start"))
+    ranges = ranges.repartition(min(TASKS, max(1, ranges.count())), F.col("path"), F.col("start"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
@@ -184,7 +225,7 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
                 rows, held = [], 0
                 for r in _own_records(store, file, start, start + range_bytes):
                     rows.append(r)
-                    held += r[4]
+                    held += r[4] or 0
                     if held >= 8 * READ_BYTES or len(rows) >= 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
                         rows, held = [], 0
