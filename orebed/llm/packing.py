@@ -175,8 +175,19 @@ class _BySize:
             self.below[k] = k - 1
 
 
+def _ones(b: list[int], sizes: list[int]) -> list[tuple[int, tuple[int, ...]]]:
+    """(size, documents) of a bin's documents, one of each size, as equal ones can stand for each other."""
+    return [(n, (i,)) for n, i in {sizes[i]: i for i in b}.items()]
+
+
 def _pairs(b: list[int], sizes: list[int]) -> list[tuple[int, tuple[int, ...]]]:
-    return [(sizes[i] + sizes[j], (i, j)) for k, i in enumerate(b) for j in b[k + 1 :]]
+    """(size, documents) of a bin's pairs, one of each two sizes: a bin of many small documents has few sizes."""
+    of: dict[int, list[int]] = {}
+    for i in b:
+        if len(held := of.setdefault(sizes[i], [])) < 2:
+            held.append(i)
+    some = sorted(of.items())
+    return [(2 * n, tuple(held)) for n, held in some if len(held) == 2] + [(n + m, (x[0], y[0])) for k, (n, x) in enumerate(some) for m, y in some[k + 1 :]]
 
 
 def _best_exchange(b: list[int], room: int, sizes: list[int], ones: _BySize, twos: _BySize) -> tuple[int, tuple[int, ...], tuple[int, ...], int] | None:
@@ -185,7 +196,7 @@ def _best_exchange(b: list[int], room: int, sizes: list[int], ones: _BySize, two
     Tried: nothing for one, one for one, two for one, and one for two.
     """
     best = None
-    for lost, give in [(0, ()), *((sizes[i], (i,)) for i in b), *_pairs(b, sizes)]:
+    for lost, give in [(0, ()), *_ones(b, sizes), *_pairs(b, sizes)]:
         for pool in (ones, twos) if len(give) == 1 else (ones,):
             found = pool.at_most(lost + room)
             if found and found[0] - lost > (best[0] if best else 0):
@@ -210,7 +221,7 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list
     while moved and sum(f > 0 for f in fill) > least:
         moved, gave = False, set()
         underfull = sorted((k for k, f in enumerate(fill) if 0 < f < capacity), key=lambda k: -fill[k])
-        ones = _BySize([(sizes[i], (i,), k) for k in underfull for i in bins[k]])
+        ones = _BySize([(n, one, k) for k in underfull for n, one in _ones(bins[k], sizes)])
         twos = _BySize([(n, pair, k) for k in underfull for n, pair in _pairs(bins[k], sizes)])
         for b in underfull:
             if b in gave:
