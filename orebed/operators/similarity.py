@@ -30,11 +30,16 @@ def common_counts(rows: DataFrame) -> DataFrame:
 
 
 def jaccard(rows: DataFrame, least: float, candidates: DataFrame | None = None) -> DataFrame:
-    """(a, b, similarity) of item pairs with a Jaccard similarity of `least` or more, among candidates if given."""
+    """(a, b, similarity) of item pairs with a Jaccard similarity of `least` or more, among candidates if given.
+
+    Candidates are joined with the keys of a, then with (b, key), so only their own keys are counted.
+    """
     sizes = rows.groupBy("item").agg(F.count("*").alias("size"))
-    pairs = common_counts(rows)
-    if candidates is not None:
-        pairs = pairs.join(candidates, ["a", "b"], "left_semi")
+    if candidates is None:
+        pairs = common_counts(rows)
+    else:
+        held = candidates.join(rows.select(F.col("item").alias("a"), "key"), "a")
+        pairs = held.join(rows.select(F.col("item").alias("b"), "key"), ["b", "key"]).groupBy("a", "b").agg(F.count("*").alias("n"))
     pairs = pairs.join(sizes.select(F.col("item").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("item").alias("b"), F.col("size").alias("nb")), "b")
     s = F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))
     return pairs.select("a", "b", F.round(s, 8).alias("similarity")).where(F.col("similarity") >= least)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orebed.functions.text import trailing_zeros, utf8_mod
-from orebed.operators.relational import arithmetic_hash, dense_index
+from orebed.operators.relational import arithmetic_hash, dense_index, numbered
 
 #: Coefficients (a, b) of the affine hash functions, bits of the Bloom filter, and the sketch's prime and range.
 AFFINE = [(913, 14), (387, 471), (24, 552), (751, 38), (597, 819), (101, 67), (433, 229), (883, 907), (71, 353), (229, 541), (659, 13), (337, 701), (47, 89), (811, 17), (503, 611), (173, 251)]
@@ -76,5 +76,6 @@ def reservoir(stream: DataFrame, slots: int = SLOTS, reported: list[int] = REPOR
 
 
 def exact_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows of df (fewer if there are fewer), those of the smallest hashes of their integer key."""
-    return df.orderBy(arithmetic_hash(F.col(key), seed), key).limit(n)
+    """n rows of df (fewer if there are fewer), those of the smallest hashes of their integer key, by rank over range partitions."""
+    rows = numbered(df.withColumn("_hash", arithmetic_hash(F.col(key), seed)), ["_hash", key], name="_rank")
+    return rows.where(F.col("_rank") < n).drop("_hash", "_rank")

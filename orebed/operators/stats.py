@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orebed.operators.relational import numbered, totals_below
+from orebed.storage import materialize
+
 
 def simple_ols(df: DataFrame, x: str, y: str) -> DataFrame:
     """slope, intercept, r2 of one predictor."""
@@ -61,16 +68,79 @@ def distance(a: Column, b: Column, metric: str = "euclidean", p: float = 3.0) ->
     return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g))
 
 
+#: Queries that are held against all points in one scan.
+QUERY_BLOCK = 1024
+
+
+def _distances(q: np.ndarray, v: np.ndarray, metric: str, p: float) -> np.ndarray:
+    """(queries, points) distances, added up dimension by dimension."""
+    out = np.zeros((len(q), len(v)))
+    for j in range(q.shape[1]):
+        gap = np.abs(q[:, j, None] - v[None, :, j])
+        if metric == "chebyshev":
+            np.maximum(out, gap, out=out)
+        else:
+            out += gap if metric == "manhattan" else gap**p if metric == "minkowski" else gap * gap
+    return out ** (1 / p) if metric == "minkowski" else np.sqrt(out) if metric == "euclidean" else out
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
 def nearest(queries: DataFrame, points: DataFrame, k: int, metric: str = "euclidean", p: float = 3.0) -> DataFrame:
-    """(q, id, d, rank, label) of the k nearest points (id, v, label) of each query (q, v); ties by id.
+    """(q, id, label, d, rank) of the k nearest points (id, v, label) of each query (q, v); ties by id.
 
-    The queries are the stated set; points are scanned once against them, and the rank filter keeps k rows a
-    query in every task before any shuffle.
+    The queries are a stated set. They are taken in blocks of a bounded size, the points scanned once a block:
+    every task keeps the k nearest of each query that it has seen, so k rows a query and task are shuffled and no
+    pairs are formed. d is rounded to six places. No queries or no points give no rows.
+    """
+    if metric not in ("euclidean", "manhattan", "chebyshev", "minkowski"):
+        raise ValueError(f"unknown metric {metric}")
+    points = points.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"), "label")
+    queries = materialize(queries.select("q", F.transform("v", lambda x: x.cast("double")).alias("v")), "queries")
+    blocks = -(-max(1, queries.count()) // (QUERY_BLOCK // 2))  # dealt by hash, half full on average
+    found = None
+    for block in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).collect()
+        if not rows and block:
+            continue
+        names, q = [r.q for r in rows], np.array([r.v for r in rows], np.float64).reshape(len(rows), len(rows[0].v) if rows else 0)
+
+        def scan(batches: Iterator[pa.RecordBatch], names: list = names, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+            d, ids, labels, kind = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64), np.empty((len(q), 0), object), None
+            for b in batches:
+                kind = b.column(2).type
+                for lo in range(0, b.num_rows if len(q) else 0, 512):
+                    part = b.slice(lo, 512)
+                    new = part.column(0).to_numpy(zero_copy_only=False)
+                    d = np.concatenate((d, np.round(_distances(q, _matrix(part.column(1)), metric, p), 6)), axis=1)
+                    ids = np.concatenate((ids, np.broadcast_to(new, (len(q), len(new)))), axis=1)
+                    labels = np.concatenate((labels, np.broadcast_to(np.array(part.column(2).to_pylist(), object), (len(q), len(new)))), axis=1)
+                    best = np.lexsort((ids, d), axis=1)[:, :k]
+                    d, ids, labels = (np.take_along_axis(x, best, axis=1) for x in (d, ids, labels))
+            if d.size:
+                yield pa.RecordBatch.from_pydict({"q": pa.array([x for x in names for _ in range(d.shape[1])], pa.int64()), "id": pa.array(ids.ravel()), "label": pa.array(labels.ravel().tolist(), kind), "d": pa.array(d.ravel())})
+
+        schema = f"q long, id long, label {points.schema['label'].dataType.simpleString()}, d double"
+        part = points.select(F.col("id").cast("long"), "v", "label").mapInArrow(scan, schema)
+        found = part if found is None else found.unionByName(part)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def whitened(df: DataFrame, reference: DataFrame, dims: int) -> DataFrame:
+    """df with v turned so that Euclidean distance is the Mahalanobis distance of `reference`'s sample covariance.
+
+    The covariance is one aggregate over `reference`; its dims x dims values are inverted on the driver.
     """
-    pairs = points.join(queries.select("q", F.col("v").alias("qv")), F.lit(True))
-    pairs = pairs.select("q", "id", "label", F.round(distance(F.col("qv"), F.col("v"), metric, p), 6).alias("d"))
-    w = Window.partitionBy("q").orderBy("d", "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    cols = [F.get("v", j).cast("double").alias(f"x{j}") for j in range(dims)]
+    cov = np.zeros((dims, dims))
+    for a, b, value in covariance(reference.select(*cols), [f"x{j}" for j in range(dims)]).collect():
+        cov[int(a[1:]), int(b[1:])] = cov[int(b[1:]), int(a[1:])] = value
+    root = np.linalg.cholesky(np.linalg.pinv(cov) + 1e-15 * np.eye(dims))
+    turned = [F.aggregate(F.zip_with("v", F.array(*map(F.lit, map(float, root[:, j]))), lambda x, w: x.cast("double") * w), F.lit(0.0), lambda s, x: s + x) for j in range(dims)]
+    return df.withColumn("v", F.array(*turned))
 
 
 def vote(neighbours: DataFrame, weighted: bool = False) -> DataFrame:
@@ -98,15 +168,35 @@ def class_report(pairs: DataFrame) -> DataFrame:
     return m.select("label", "support", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 6).alias("f1"))
 
 
-def roc_auc(scored: DataFrame) -> DataFrame:
-    """One row: auc of (label 0/1, score), ties counted half, by pre-aggregated scores."""
+def class_summary(pairs: DataFrame) -> DataFrame:
+    """One row: n, accuracy, macro_f1 and weighted_f1 (by support) of (label, guess)."""
+    c = class_report(pairs)
+    hits = pairs.agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("guess")).cast("double")), 6).alias("accuracy"))
+    f1 = c.agg(F.round(F.avg("f1"), 5).alias("macro_f1"), F.round(F.sum(F.col("f1") * F.col("support")) / F.sum("support"), 5).alias("weighted_f1"))
+    return hits.crossJoin(F.broadcast(f1))  # one row each
+
+
+def _by_score(scored: DataFrame) -> DataFrame:
     g = scored.groupBy("score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    s = g.agg(F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2)).alias("ranks"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
+    return totals_below(g, "score", ["pos", "n"])
+
+
+def roc_auc(scored: DataFrame) -> DataFrame:
+    """One row: auc of (label 0/1, score), ties counted half, by pre-aggregated scores over range partitions."""
+    g = _by_score(scored)
+    s = g.agg(F.sum(F.col("pos") * (F.col("n_below") + (F.col("n") + 1) / 2)).alias("ranks"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     return s.select(F.round((F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p"))), 6).alias("auc"))
 
 
+def roc_points(scored: DataFrame) -> DataFrame:
+    """(threshold, fpr, tpr) of the curve that `score >= threshold` gives, a row a different score."""
+    g = _by_score(scored)
+    t = g.agg(F.sum("pos").alias("p"), F.sum("n").alias("all"))
+    g = g.crossJoin(F.broadcast(t))  # one row
+    false = F.col("all") - F.col("p")
+    return g.select(F.col("score").alias("threshold"), F.round((false - (F.col("n_below") - F.col("pos_below"))) / false, 8).alias("fpr"), F.round((F.col("p") - F.col("pos_below")) / F.col("p"), 8).alias("tpr"))
+
+
 def silhouette(points: DataFrame, centres_only: bool = False) -> DataFrame:
     """One row: the mean silhouette of (id, v, label), squared Euclidean, from the clusters' sums alone.
 
@@ -128,5 +218,6 @@ def silhouette(points: DataFrame, centres_only: bool = False) -> DataFrame:
 
 
 def folds(df: DataFrame, label: str, key: Column, k: int) -> DataFrame:
-    """df with `fold`, 0 to k - 1, each label spread evenly, by rank of a hash of the key."""
-    return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1) % k).cast("int"))
+    """df with `fold`, 0 to k - 1, each label spread evenly, by rank of a hash of the key over range partitions."""
+    rows = numbered(df.withColumn("_key", key), ["_key"], [label], "_at")
+    return rows.withColumn("fold", (F.col("_at") % k).cast("int")).drop("_key", "_at")

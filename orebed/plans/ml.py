@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from orebed.operators import ml as M
 from orebed.operators import stats as S
-from orebed.operators.relational import arithmetic_hash
+from orebed.operators.relational import arithmetic_hash, numbered
 from orebed.plans.base import query, table
 
-#: Rows of each label, in order of vec_id, that are queries; the rest are the points they are held against.
-HEAD, K, KS = 10, 5, [1, 3, 5, 7, 9, 11, 15]
+#: Every FIFTH row of each label, in order of vec_id, is a query; the rest are the points they are held against.
+FIFTH, K, KS = 5, 5, [1, 3, 5, 7, 9, 11, 15]
 
 _SPLIT = f"""p0 AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
-qs AS (SELECT vec_id AS q, v, label FROM p0 WHERE k <= {HEAD}), ps AS (SELECT vec_id AS id, v, label FROM p0 WHERE k > {HEAD}),
+qs AS (SELECT vec_id AS q, v, label FROM p0 WHERE k % {FIFTH} = 1), ps AS (SELECT vec_id AS id, v, label FROM p0 WHERE k % {FIFTH} <> 1),
 nn AS (SELECT q, id, ps.label, round(list_distance(qs.v, ps.v), 6) AS d FROM qs, ps),
 nr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, id) AS rank FROM nn),
 gs AS (SELECT q, label AS guess FROM (SELECT q, label, row_number() OVER (PARTITION BY q ORDER BY count(*) DESC, label) AS k FROM nr WHERE rank <= {K} GROUP BY q, label) WHERE k = 1),
@@ -27,8 +27,9 @@ def points(spark: SparkSession, sf: str) -> DataFrame:
 
 def split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(queries: q, v, label), (points: id, v, label)."""
-    p = points(spark, sf).withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("id")))
-    return p.where(F.col("k") <= HEAD).select(F.col("id").alias("q"), "v", "label"), p.where(F.col("k") > HEAD).select("id", "v", "label")
+    p = numbered(points(spark, sf), ["id"], ["label"], "k")
+    query = F.col("k") % FIFTH == 0
+    return p.where(query).select(F.col("id").alias("q"), "v", "label"), p.where(~query).select("id", "v", "label")
 
 
 def knn_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,10 +175,9 @@ _HASH = "(((vec_id % 1000003) * 7919 + {0}) * 104729 % 1000003)"
 
 @query("stratified_split", f"WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {_HASH.format(3)}, vec_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings) SELECT vec_id, label, CASE WHEN k <= n // 5 THEN 'test' ELSE 'train' END AS part FROM r")
 def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("label")
-    e = table(spark, sf, "embeddings").select("vec_id", "label")
-    k = F.row_number().over(w.orderBy(arithmetic_hash(F.col("vec_id"), 3), "vec_id"))
-    return e.select("vec_id", "label", F.when(k <= F.floor(F.count("*").over(w) / 5), "test").otherwise("train").alias("part"))
+    e = table(spark, sf, "embeddings").select("vec_id", "label", arithmetic_hash(F.col("vec_id"), 3).alias("h"))
+    rows = numbered(e, ["h", "vec_id"], ["label"], "k").join(e.groupBy("label").agg(F.count("*").alias("n")), "label")
+    return rows.select("vec_id", "label", F.when(F.col("k") < F.floor(F.col("n") / 5), "test").otherwise("train").alias("part"))
 
 
 @query("stratified_folds", f"SELECT vec_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY {_HASH.format(11)} * 10000000 + vec_id) - 1) % 10 AS INTEGER) AS fold FROM embeddings")
@@ -223,19 +223,6 @@ def train_test(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return p.where("part = 'train'").drop("part"), p.where("part = 'test'").drop("part")
 
 
-@query("multi_ols")
-def multi_ols(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "lineitem").withColumn("price", F.col("l_extendedprice") / 1000)
-    return M.linear_fit(d, ["l_quantity", "l_discount", "l_tax"], "price")
-
-
-@query("linear_mse")
-def linear_mse(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "lineitem").withColumn("price", F.col("l_extendedprice") / 1000).withColumn("q2", F.col("l_quantity") * F.col("l_quantity"))
-    train = arithmetic_hash(F.col("l_orderkey"), 13) < 700_002
-    return M.linear_mse(d.where(train), d.where(~train), ["l_quantity", "q2", "l_discount"], "price")
-
-
 @query("l1_classifier")
 def l1_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return M.l1_classifier(*train_test(spark, sf))
@@ -295,3 +282,10 @@ def passive_learning(spark: SparkSession, sf: str) -> DataFrame:
 @query("bfr")
 def bfr(spark: SparkSession, sf: str) -> DataFrame:
     return M.bfr(points(spark, sf).select("id", "v"), k=10, dims=64)[0]
+
+
+@query("bfr_report")
+def bfr_report(spark: SparkSession, sf: str) -> DataFrame:
+    """A line a round: points in discard sets, compressed sets and their points, retained points."""
+    lines = M.bfr(points(spark, sf).select("id", "v"), k=10, dims=64)[1]
+    return spark.createDataFrame(lines, "round int, discard long, sets long, compressed long, retained long")

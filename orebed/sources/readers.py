@@ -31,6 +31,11 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.json(path, schema=schema)
 
 
+def read_json_inferred(spark: SparkSession, path: str, sample: float = 1.0) -> DataFrame:
+    """JSON lines with the types that the values show, by a pass over all of them or over a share of the lines."""
+    return spark.read.option("samplingRatio", sample).json(path)
+
+
 def unwrap_json(text: Column) -> Column:
     """The JSON text that a JSON string holds; other JSON text as it is."""
     return F.when(F.trim(text).startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v")).otherwise(text)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +17,10 @@ def json_array(df: DataFrame, encoded_twice: bool = False) -> DataFrame:
     return df.agg((F.to_json(F.struct(text.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(text.alias("v")))) - 6) if encoded_twice else text).alias("value"))
 
 
-def write_json_object(df: DataFrame, path: str, indent: int = 4) -> None:
-    """The only row of df as one indented JSON file, written by the driver to a local path."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(df.first().asDict(recursive=True), f, indent=indent, default=str)
+def write_json_object(df: DataFrame, path: str) -> None:
+    """Each row of df as an indented JSON object, nulls written; a summary of one row makes one object."""
+    text = F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"})
+    df.select(text.alias("value")).write.text(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

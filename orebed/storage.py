@@ -11,8 +11,14 @@ LOCAL_FALLBACK = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which the driver and all executors reach."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK).rstrip("/")
+    """The folder in spark.checkpoint.dir, which the driver and all executors reach.
+
+    A session that names none has a folder of this machine, if all its tasks run here; on a cluster it is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
+    return (named or LOCAL_FALLBACK).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -187,3 +187,138 @@ def test_the_test_rows_of_models_grow_with_the_table(spark):
     train, test = (x.count() for x in train_test(spark, f"{DATA}/sf0.1"))
     n = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").count()
     assert train + test == n and abs(test - n / 5) <= 10
+
+
+def test_numbered_and_totals_over_ranges(spark):
+    rng = random.Random(2)
+    rows = [(g, rng.randrange(10_000), i) for i in range(400) for g in ("a", "b", None)]
+    df = spark.createDataFrame(rows, "g string, k int, i int").repartition(5)
+    got = R.numbered(df, ["k", "i"], ["g"]).where("g IS NOT NULL").collect()
+    for g in ("a", "b"):
+        want = sorted((k, i) for h, k, i in rows if h == g)
+        assert [(r.k, r.i) for r in sorted((r for r in got if r.g == g), key=lambda r: r["index"])] == want
+    one = spark.createDataFrame([(float(k), k % 7) for k in range(300)], "k double, n int").repartition(4)
+    assert all(r.n_below == sum(x % 7 for x in range(int(r.k))) for r in R.totals_below(one, "k", ["n"]).collect())
+    assert R.numbered(df.limit(0), ["k"]).count() == 0
+
+
+def test_quantiles_are_linear_between_neighbours(spark):
+    df = spark.createDataFrame([(float(x),) for x in (1, 2, 4, 8, 16)] + [(None,)], "x double").repartition(3)
+    assert {r.share: r.value for r in R.quantiles(df, "x", [0.0, 0.3, 0.5, 1.0]).collect()} == {0.0: 1.0, 0.3: pytest.approx(2.4), 0.5: 4.0, 1.0: 16.0}
+
+
+def test_bind_columns_keeps_rows_without_a_partner(spark):
+    a, b = spark.createDataFrame([(3,), (1,), (2,)], "x int"), spark.createDataFrame([("p",), ("q",)], "y string")
+    assert sorted(map(tuple, R.bind_columns(a, ["x"], b, ["y"]).collect())) == [(0, 1, "p"), (1, 2, "q"), (2, 3, None)]
+
+
+def test_requests_are_checked():
+    assert R.check_range("2020-01-02", "2020-01-03", "2020-01-01", "2020-12-31") == ("2020-01-02", "2020-01-03")
+    for bad in (("2020-01-03", "2020-01-02"), ("2019-12-31", "2020-01-02"), ("2020-13-01", "2020-01-02"), ("2020-01-02", "2021-01-01")):
+        with pytest.raises(ValueError):
+            R.check_range(*bad, "2020-01-01", "2020-12-31")
+    assert R.check_choice(" us ", ["DE", "US"], "country") == "US"
+    with pytest.raises(ValueError, match="DE, US"):
+        R.check_choice("x", ["DE", "US"], "country")
+
+
+def test_nearest_in_several_blocks_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "QUERY_BLOCK", 16)
+    rng = random.Random(5)
+    pts = [(i, [round(rng.random(), 1) for _ in range(3)], i % 3) for i in range(700)]
+    q = [(1000 + i, [rng.random() for _ in range(3)]) for i in range(40)]
+    p, qs = spark.createDataFrame(pts, "id long, v array<double>, label int").repartition(4), spark.createDataFrame(q, "q long, v array<double>")
+    for metric, dist in (("euclidean", lambda g: sum(x * x for x in g) ** 0.5), ("manhattan", sum), ("chebyshev", max), ("minkowski", lambda g: sum(x**3 for x in g) ** (1 / 3))):
+        got = {}
+        for r in S.nearest(qs, p, 4, metric).collect():
+            got.setdefault(r.q, {})[r["rank"]] = (r.d, r.id, r.label)
+        for name, v in q:
+            want = sorted((round(dist([abs(a - b) for a, b in zip(v, w, strict=True)]), 6), i, c) for i, w, c in pts)[:4]
+            assert [got[name][k] for k in (1, 2, 3, 4)] == [(pytest.approx(d), i, c) for d, i, c in want]
+    assert S.nearest(qs.limit(0), p, 4).count() == 0 and S.nearest(qs, p.limit(0), 4).count() == 0
+    with pytest.raises(ValueError):
+        S.nearest(qs, p, 1, "none")
+
+
+def test_whitened_distance_is_mahalanobis(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 3)) @ np.array([[2, 0.5, 0], [0, 1, 0.3], [0, 0, 0.2]])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "id long, v array<double>, label int")
+    near = S.nearest(S.whitened(df.limit(60).select(F.col("id").alias("q"), "v"), df, 3), S.whitened(df, df, 3), 60).collect()
+    inv = np.linalg.inv(np.cov(x.T))
+    assert all(abs(r.d - np.sqrt((x[r.q] - x[r.id]) @ inv @ (x[r.q] - x[r.id]))) < 1e-4 for r in near)
+
+
+def test_texts_paths_and_indented_json(spark, tmp_path):
+    assert one(spark, T.list_text(F.array(F.lit("a"), F.lit("b")))) == "'a', 'b'"
+    assert one(spark, T.xpath_of(T.dotted_path(F.array(F.lit("country"), F.lit("@id"))))) == "/country/@id"
+    df = spark.createDataFrame([(1, None, [["u", "3"], ["v", "2"]])], "n int, s string, top array<array<string>>")
+    writers.write_json_object(df, str(tmp_path / "o"))
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "o"), wholetext=True).collect())
+    assert json.loads(text) == {"n": 1, "s": None, "top": [["u", "3"], ["v", "2"]]} and text.count("\n") > 3
+
+
+def blobs(spark, n=240, k=3, seed=1):
+    rng = random.Random(seed)
+    return spark.createDataFrame([(i, [rng.gauss(6.0 * (i % k == j), 1.0) for j in range(4)], i % k) for i in range(n)], "id long, v array<double>, label int")
+
+
+def right(pairs):
+    rows = pairs.collect()
+    return sum(r.label == r.guess for r in rows) / len(rows)
+
+
+def test_classifiers_and_search_tell_blobs_apart(spark):
+    train, test = blobs(spark), blobs(spark, 90, seed=2)
+    assert right(M.l1_classifier(train, test)) >= 0.95
+    assert right(M.rbf_svm(train, test, dims=4, gamma=0.05)) >= 0.95
+    assert right(M.cluster_classifier(train, test, k=3)) >= 0.95
+    assert max(r.f1 for r in M.grid_search(train, [0.003, 0.03], k=3).collect()) >= 0.95
+
+
+def test_clusters_and_spectral_find_blobs(spark):
+    df = blobs(spark)
+    scores = {r.k: r.silhouette for r in M.choose_k(df, [2, 3, 6]).collect()}
+    assert max(scores, key=scores.get) == 3
+    loss = M.kmeans_monte_carlo(df, 3, runs=3).first()
+    assert loss.runs == 3 and 0 <= loss.mean_loss <= 0.4
+    two = blobs(spark, 120, k=2)
+    got = M.spectral(two, 2, gamma=0.05)
+    assert got.count() == 120
+    assert right(got.join(M.majority(got), "cluster")) >= 0.9
+
+
+def test_smote_points_lie_between_neighbours_of_the_class(spark):
+    df = blobs(spark, 60)
+    made = M.smote(df, minority=1, k=3, copies=2).collect()
+    few = {r.id: r.v for r in df.where("label = 1").collect()}
+    assert len(made) == 2 * len(few) and len({r.id for r in made}) == len(made) and {r.label for r in made} == {1}
+    for r in made:
+        on = lambda a, b, v=r.v: max(abs((b[j] - a[j]) * (v[0] - a[0]) - (b[0] - a[0]) * (v[j] - a[j])) for j in range(4)) < 1e-6 and min(a[0], b[0]) - 1e-9 <= v[0] <= max(a[0], b[0]) + 1e-9
+        assert any(on(a, b) for x, a in few.items() for y, b in few.items() if x != y)
+
+
+def test_boosted_trees_beat_the_overall_mean(spark):
+    rng = random.Random(3)
+    rows = [(u, b, min(5.0, max(1.0, 3 + (u % 3 - 1) + (b % 3 - 1) * 0.7 + rng.gauss(0, 0.3)))) for u in range(40) for b in range(25) if rng.random() < 0.6]
+    df = spark.createDataFrame(rows, "user_id long, business_id long, rating double")
+    test = df.where("(user_id * 7 + business_id) % 5 = 0")
+    train = df.where("(user_id * 7 + business_id) % 5 <> 0")
+    got = M.boosted_ratings(train, test.select("user_id", "business_id")).join(test, ["user_id", "business_id"]).collect()
+    mean = train.agg(F.avg("rating")).first()[0]
+    assert len(got) == test.count()
+    assert sum((r.prediction - r.rating) ** 2 for r in got) < 0.3 * sum((mean - r.rating) ** 2 for r in got)
+
+
+def test_bfr_puts_every_point_once_and_reports_each_round(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(30.0 * (i % 3), 1.0), rng.gauss(-20.0 * (i % 3), 1.0)]) for i in range(600)] + [(900 + i, [500.0 + 200 * i, 900.0]) for i in range(3)]
+    found, lines = M.bfr(spark.createDataFrame(rows, "id long, v array<double>"), k=3, dims=2)
+    got = {r.id: r.cluster for r in found.collect()}
+    assert len(got) == found.count() == 603
+    assert len(lines) == 5 and [x[0] for x in lines] == [1, 2, 3, 4, 5] and lines[-1][1] + lines[-1][3] + lines[-1][4] == 603
+    groups = [{got[i] for i in range(600) if i % 3 == g and got[i] >= 0} for g in range(3)]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
+    assert all(got[900 + i] == -1 for i in range(3))
