@@ -90,6 +90,39 @@ def test_language_id_is_right_on_held_out_documents(spark):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
+def test_language_vectors_bundles_and_cosines_equal_plain_loops(spark, monkeypatch):
+    """Letters permuted by place, bound by product, bundled with the root of counts; the language of the largest cosine."""
+    rows = [(1, "the cat sat on the mat", "en"), (3, "a dog ran to the cat", "en"), (4, "der hund lief zur katze", "de"), (5, "die katze sass da", "de"), (2, "the hat", None), (8, "der Hut!", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    p = langid.Profiler()
+
+    def profile(text):
+        s = "".join(c.lower() if c.isalpha() else " " for c in f" {text} ")
+        s = re.sub(" +", " ", s)
+        total = np.zeros(langid.DIMENSIONS)
+        grams = collections.Counter(s[i : i + 3] for i in range(len(s) - 2))
+        for g, n in grams.items():
+            v = np.ones(langid.DIMENSIONS)
+            for place, c in enumerate(g):
+                v *= np.roll(p.letter(ord(c)).astype(float), place)
+            total += np.sqrt(n) * v
+        return total, np.sqrt(sum(grams.values()) * langid.DIMENSIONS)
+
+    sums = {}
+    for i, t, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            v, length = profile(t)
+            sums[lang] = sums.get(lang, 0) + v / length
+    langs, protos = langid.train(docs)
+    assert langs == sorted(sums) == ["de", "en"]
+    for lang, proto in zip(langs, protos, strict=True):
+        assert np.allclose(proto, sums[lang] / np.linalg.norm(sums[lang]), atol=1e-4)
+    for r in langid.predict(docs, (langs, protos)).collect():
+        v, length = profile(next(t for i, t, _ in rows if i == r.doc_id))
+        cos = {lang: float(v @ sums[lang] / np.linalg.norm(sums[lang]) / length) for lang in langs}
+        assert r.lang_pred == max(cos, key=cos.get) and abs(r.score - min(1, max(0, max(cos.values())))) < 1e-3
+
+
 def test_language_id_of_odd_texts(spark, odd, empty):
     model = langid.train(odd)
     got = langid.predict(odd, model).collect()
@@ -380,6 +413,27 @@ def test_quality_counts_equal_brute_force(spark, odd, empty):
     assert quality.judge(odd, labels.limit(0)).count() == len(ODD)
 
 
+def test_quality_scores_and_verdicts_equal_plain_counts(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in quality.judge(docs, labels).collect()}
+    by_words = docs.select("doc_id", quality.buckets(quality.words(F.col("text"))).alias("b")).collect()  # Spark's hashes
+    fits, sets = ({r.doc_id for r in x.collect()} for x in (quality.fitting_ids(labels), quality.setting_ids(labels)))
+    raw, good = (collections.Counter() for _ in range(2))
+    for r in by_words:
+        raw.update(r.b)
+        if r.doc_id in fits:
+            good.update(r.b)
+    add, size = quality.SMOOTHING, quality.BUCKETS
+    all_raw, all_good = sum(raw.values()) + add * size, sum(good.values()) + add * size
+    ratio = lambda b: np.log((good[b] + add) / all_good) - np.log((raw[b] + add) / all_raw)
+    score = {r.doc_id: float(np.mean([ratio(b) for b in r.b])) if r.b else None for r in by_words}
+    scores = sorted(np.floor(got[i].score / quality.STEP) for i in sets if i in got and not got[i].base_failed)
+    least = scores[int((1 - quality.PASS_SHARE) * len(scores))] * quality.STEP - quality.MARGIN
+    for i, r in got.items():
+        assert (r.score is None) == (score[i] is None) and (r.score is None or abs(r.score - score[i]) < 2e-5)
+        assert r.kept == (not r.base_failed and r.score >= least)
+
+
 def test_quality_threshold_rests_on_every_trusted_document_that_does_not_fit(spark, monkeypatch):
     labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(400)], "doc_id long, quality int")
     monkeypatch.setattr(quality, "TRUSTED", 20)
@@ -685,9 +739,79 @@ def test_secret_network_finds_keys_without_a_digit_and_leaves_words():
 # Pipeline
 
 
-def test_pipeline_runs_and_each_stage_keeps_the_columns(spark):
+def test_each_stage_of_the_pipeline_equals_brute_force(spark):
+    """Planted documents beside some of the table's: unknown languages, repeated lines, near copies, benchmark items."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 70")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    item = bench.where("item_id = 0 OR text IS NOT NULL").orderBy("item_id").first().text
+    long = " ".join(docs.where("length(text) > 800").orderBy("doc_id").first().text.split()[:90])
+    near = " ".join("changed" if i == 40 else w for i, w in enumerate(long.split()))
+    planted = [(9001, "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(300)), None), (9002, "1234 !!", "en"), (9003, None, "en"), (9004, f"first of all\n{item}\nand more", "en"), (9005, long, "en"), (9006, near, "en")]
+    d = docs.unionByName(spark.createDataFrame([(i, t, g, "planted", None if t is None else len(t)) for i, t, g in planted], docs.schema))
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["language_id", "line_dedup", "near_duplicates", "benchmark", "packing"]
+    text = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+    known = stages["language_id"](spark, d, SF).persist()
+    model = langid.train(d)
+    least = langid.least_score(d, model)
+    want = [r.doc_id for r in langid.predict(d, model).collect() if r.lang_pred != "und" and r.score >= least - 1e-6]
+    assert sorted(r.doc_id for r in known.collect()) == sorted(want)
+    assert not {9001, 9002, 9003} & set(want) and {9004, 9005, 9006} <= set(want)
+
+    lines = stages["line_dedup"](spark, known, SF).persist()
+    rows = [(r.doc_id, r.text) for r in known.collect()]
+    gone = {(i, k) for (i, k, *_, kept), n in brute_lines(rows).items() if not kept}
+    want = []
+    for i, t in rows:
+        left = "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)
+        if left.strip() or not t.strip():
+            want.append((i, left))
+    assert text(lines) == sorted(want, key=str)
+    assert all(r.n_chars in (None, len(r.text)) for r in lines.collect() if r.doc_id >= 9000)
+
+    once = stages["near_duplicates"](spark, lines, SF).persist()
+    _, head = brute_minhash([(r.doc_id, r.text) for r in lines.collect()], 80)
+    assert text(once) == [x for x in text(lines) if head[x[0]] == x[0]]
+    assert 9006 not in {i for i, _ in text(once)}
+
+    clean = stages["benchmark"](spark, once, SF).persist()
+    items = [n for r in bench.collect() if (n := decontam.normal(r.text))]
+    holds = lambda t: any(decontam.Item(0, n, decontam.ERROR_RATE).distance(decontam.normal(t)) <= decontam.budget(len(n)) for n in items)
+    assert text(clean) == [x for x in text(once) if not holds(x[1])]
+    assert 9004 not in {i for i, _ in text(clean)}
+
+    packed = stages["packing"](spark, clean, SF).collect()
+    enc = packing.encoder(packing.tokenizer_path())
+    want = []
+    for i, t in text(clean):
+        ids = [*enc.tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        want += [(i, k, a, n) for k, (a, n) in enumerate(packing.cut(len(ids)))]
+    assert sorted((r.doc_id, r.piece, r.start, r.length) for r in packed) == sorted(want)
+    for s in {r.sequence_id for r in packed}:
+        ends = 0
+        for r in sorted((r for r in packed if r.sequence_id == s), key=lambda r: r.offset):
+            assert r.offset == ends
+            ends += r.length
+        assert ends <= packing.CAPACITY
+    assert all(list(x.columns) == d.columns for x in (known, lines, once, clean))
+
+
+@pytest.mark.parametrize("name", ["language_id", "line_dedup", "near_duplicates", "benchmark", "packing"])
+def test_stages_of_odd_and_empty_documents(spark, odd, empty, name):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, odd, SF)
+    assert out.columns == odd.columns or name == "packing"
+    assert out.count() >= 5 and stage(spark, empty, SF).count() == 0
+
+
+def test_pipeline_runs_whole(spark):
     import corpus_pipeline
 
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_duplicates", "benchmark", "packing"]
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
