@@ -312,7 +312,8 @@ def _exact(prepare: Callable, similar: Callable, least: float, likely: Callable)
 
 def _placed(stars: DataFrame, bad: DataFrame, first: DataFrame) -> DataFrame:
     """(key, id, sig, component) of the members of `bad` buckets."""
-    m = stars.where("key IS NOT NULL").join(bad, "key", "left_semi").groupBy("key", "id").agg(F.min("sig").alias("sig"))
+    m = stars.where("key IS NOT NULL").join(bad, "key", "left_semi")
+    m = m.repartition("key", "id").groupBy("key", "id").agg(F.min("sig").alias("sig"))  # a hot key's join can be split, and its rows part here
     return m.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
@@ -322,6 +323,7 @@ def _second_round(m: DataFrame) -> DataFrame:
     sizes = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most")).where("n > most.n")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     sizes = sizes.select("key", F.col("most.component").alias("home"), blocks(F.col("n") - F.col("most.n")).alias("xs"), blocks(F.col("n")).alias("ys"))
+    sizes = materialize(sizes, "sizes")  # else the join would share the aggregate's shuffle, and a hot key could not be split
     m = m.join(sizes, "key").withColumn("outside", F.col("component") != F.col("home"))
     dealt = lambda name, n: F.pmod(F.xxhash64(F.lit(name), "id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
