@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebed.llm.common import table
+from orebed.llm.common import kept, slices, table
 
 #: Errors allowed, as a share of an item's characters.
 ERROR_RATE = 0.08
@@ -103,14 +103,8 @@ class Matcher:
         return found
 
 
-_matchers: dict[str, Matcher] = {}
-
-
 def _matcher(name: str, items: list[tuple[int, str]], rate: float) -> Matcher:
-    if name not in _matchers:
-        _matchers.clear()
-        _matchers[name] = Matcher(items, rate)
-    return _matchers[name]
+    return kept(f"matcher {name}", lambda: Matcher(items, rate))
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -140,7 +134,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) ->
 
         def run(batches: Iterator[pa.RecordBatch], items=items, name=f"{run_id}-{k}", last=last) -> Iterator[pa.RecordBatch]:
             m = _matcher(name, items, rate)
-            for b in batches:
+            for b in slices(batches):
                 got = [m.find(t) for t in b.column("text").to_pylist()]
                 ids = [sorted({*known, *g}) for known, g in zip(b.column("item_ids").to_pylist(), got, strict=True)]
                 least = [min((x for x in (known, *g.values()) if x is not None), default=None) for known, g in zip(b.column("least_errors").to_pylist(), got, strict=True)]
@@ -159,7 +153,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE)
 
         def run(batches: Iterator[pa.RecordBatch], items=items, name=f"{run_id}-{k}") -> Iterator[pa.RecordBatch]:
             m = _matcher(name, items, rate)
-            for b in batches:
+            for b in slices(batches):
                 yield b.filter(pa.array([not m.find(t) for t in b.column(columns.index("text")).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

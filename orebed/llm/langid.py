@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebed.llm.common import table
+from orebed.llm.common import kept, slices, table
 
 #: Dimensions of the vectors, letters of an n-gram, seed of the letters' vectors.
 DIMENSIONS, SIZE, SEED = 4096, 3, 20240229
@@ -125,13 +125,8 @@ class Scorer:
         return total / np.sqrt(float(counts.sum()) * DIMENSIONS)
 
 
-_profiler: list[Profiler] = []
-
-
 def profiler() -> Profiler:
-    if not _profiler:
-        _profiler.append(Profiler())
-    return _profiler[0]
+    return kept("profiler", Profiler)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -164,7 +159,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 sums[lang] = sums.get(lang, 0) + p.bundle(codes, np.bincount(at, np.concatenate([w for _, w in parts])))
             held.clear()
 
-        for b in batches:
+        for b in slices(batches):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if (g := p.grams(text)) is not None:
                     held.setdefault(lang, []).append((g[0], np.sqrt(g[1] / (float(g[1].sum()) * DIMENSIONS))))
@@ -195,7 +190,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = profiler()
         scorer = Scorer(p, protos)
-        for b in batches:
+        for b in slices(batches):
             ids, out, scores = b.column(0).to_pylist(), [], []
             for text in b.column(1).to_pylist():
                 g = p.grams(text) if text and langs else None
@@ -241,7 +236,7 @@ def keep_known(docs: DataFrame, lost: float = LOST) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, (langs, protos) = profiler(), model
         scorer = Scorer(p, protos)
-        for b in batches:
+        for b in slices(batches):
             keep = []
             for text in b.column(columns.index("text")).to_pylist():
                 g = p.grams(text) if text and langs else None

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebed.llm.common import slices, table
+from orebed.llm.common import kept, slices, table
 from orebed.llm.linkage import DEALT, Dealer, estimate, link, pack, partitions, signatures
 from orebed.storage import materialize
 
@@ -43,9 +43,6 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * _MIX
     return h ^ (h >> np.uint64(29))
@@ -56,7 +53,7 @@ def shingles(text: str | None) -> np.ndarray:
     if not text:
         return np.empty(0, np.uint64)
     words = text.encode("utf-8", "surrogatepass").lower().split()  # both ASCII only
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(kept("words", _Words).__getitem__, words), np.uint64, len(words))
     if not len(h):
         return h
     n = min(SHINGLE, len(h))

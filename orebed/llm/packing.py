@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orebed.llm.common import table
+from orebed.llm.common import kept, slices, table
 from orebed.storage import materialize
 
 #: Tokens of a sequence, the id that ends a document, and the tokenizer's file by its public name.
@@ -29,7 +29,7 @@ CAPACITY, END_ID, TOKENIZER = 2048, 0, "byte_bpe_50k.json"
 BLOCK = 8192
 
 #: Pre-tokens whose ids a worker keeps.
-CACHED = 1 << 20
+CACHED = 1 << 19
 
 #: Letters of Western European texts. For texts of these, ASCII and line breaks alone, PLAIN cuts as
 #: the tokenizer's own pattern does, and faster.
@@ -90,13 +90,8 @@ class Encoder:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -116,7 +111,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path or tokenizer_path()), _packed([END_ID])
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = enc.encode_packed(text or "") + end
