@@ -6,7 +6,7 @@ from orebed.llm.chat_format import OP3_SQL, op3_chat_format
 from orebed.llm.decontam import op8_decontamination
 from orebed.llm.langid import op1_language_id
 from orebed.llm.line_dedup import op2_line_dedup
-from orebed.llm.minhash import op10_minhash
+from orebed.llm.minhash import OP10_SQL, op10_minhash
 from orebed.llm.packing import op4_packing
 from orebed.llm.quality import op5_quality_rules
 from orebed.llm.secret_scan import op9_secret_scan
@@ -29,4 +29,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_chat_format": OP3_SQL,
     "op6_warc": OP6_SQL,
+    "op10_minhash": OP10_SQL,
 }
