@@ -99,6 +99,17 @@ def _graph(spark, pairs):
     return spark.createDataFrame([*pairs, *((b, a) for a, b in pairs)], "src long, dst long")
 
 
+@pytest.mark.parametrize("least", [1, 2, 5, 70])
+def test_shared_item_edges_equal_pairs_of_sets(spark, least):
+    rnd = random.Random(3)
+    held = {k: {0, *rnd.sample(range(150), rnd.choice((0, 1, 4, 9, 90, 140)))} for k in range(40)}  # all hold item 0
+    held |= {100: set(range(150)), 101: set(range(150)), 102: {500}}
+    rows = spark.createDataFrame([(k, i) for k, items in held.items() for i in items], "key int, item int")
+    want = sorted((a, b) for a in held for b in held if a != b and len(held[a] & held[b]) >= least)
+    assert sorted(map(tuple, G.shared_item_edges(rows, least).collect())) == want
+    assert G.shared_item_edges(rows.limit(0), least).count() == 0
+
+
 def test_two_triangles_and_a_bridge(spark):
     e = _graph(spark, [(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (5, 6), (4, 6)])
     top = G.edge_betweenness(e).orderBy(F.desc("betweenness")).first()
