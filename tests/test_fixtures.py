@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 
 import pytest
@@ -333,3 +334,52 @@ def test_bfr_puts_every_point_once_and_reports_each_round(spark):
     groups = [{got[i] for i in range(600) if i % 3 == g and got[i] >= 0} for g in range(3)]
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
     assert all(got[900 + i] == -1 for i in range(3))
+
+
+def _plain_sums(users):
+    want = {}
+    for r in users:
+        for a, x in r:
+            for b, y in r:
+                if a < b:
+                    n, p, q = want.setdefault((a, b), [None, None, None])
+                    add = lambda s, *v: s if None in v else (s or 0.0) + v[0] * v[-1]
+                    want[a, b] = [add(n, x, y), add(p, x, x), add(q, y, y)]
+    return want
+
+
+@pytest.mark.parametrize("dense", [1 << 22, 150, 0])
+def test_pair_sums_are_added_up_before_the_shuffle(dense, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    monkeypatch.setattr(C, "DENSE", dense)
+    monkeypatch.setattr(C, "CHUNK", 300)
+    users = [[(i, rng.choice((None, 0.5, -1.25, 2.0))) for i in sorted(rng.sample(range(12 * (k // 100), 12 * (k // 100) + 12), rng.randrange(2, 9)))] for k in range(300)]
+    kind = pa.schema([("la", pa.list_(pa.int64())), ("lx", pa.list_(pa.float64())), ("ra", pa.list_(pa.int64())), ("rx", pa.list_(pa.float64()))])
+    cut = lambda r, c: [math.nan if c and x[c] is None else x[c] for x in r]
+    rows = [{"la": cut(r, 0), "lx": cut(r, 1), "ra": None, "rx": None} for r in users]
+    rows += [{"la": cut(r[:2], 0), "lx": cut(r[:2], 1), "ra": cut(r[2:], 0), "rx": cut(r[2:], 1)} for r in users if len(r) > 2]
+    whole = users + [[p, q] for r in users for p in r[:2] for q in r[2:]]
+    got, n = {}, 0
+    for b in C._sums(iter([pa.RecordBatch.from_pylist(rows[lo : lo + 60], schema=kind) for lo in range(0, len(rows), 60)])):
+        for r in b.to_pylist():
+            s = got.setdefault((r["a"], r["b"]), [None, None, None])
+            got[r["a"], r["b"]] = [t if r[c] is None else (t or 0.0) + r[c] for t, c in zip(s, "npq", strict=True)]
+            n += 1
+    want = _plain_sums(whole)
+    assert got.keys() == want.keys()
+    assert all(g == (pytest.approx(w) if w is not None else None) for k in want for g, w in zip(got[k], want[k], strict=True))
+    if dense > 1000:
+        assert n == len(want)  # a pair leaves a task once, not once a user
+
+
+def test_long_lists_of_ratings_are_paired_by_slices(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(u, b, rng.choice((None, 1.0, 2.5, 4.0, 5.0))) for u in [*range(20), None] for b in rng.sample(range(30), rng.randrange(1, 20))]
+    train = spark.createDataFrame(rows, "user_id long, business_id int, rating double")
+    whole = sorted(map(tuple, C.item_similarity(train).selectExpr("a", "b", "round(weight, 9)").collect()))
+    monkeypatch.setattr(C, "SIDE", 3)
+    assert sorted(map(tuple, C.item_similarity(train).selectExpr("a", "b", "round(weight, 9)").collect())) == whole
+    by = {u: {b: r for v, b, r in rows if v == u} for u in range(20)}
+    assert [w[:2] for w in whole] == sorted({(a, b) for r in by.values() for a in r for b in r if a < b})
