@@ -111,6 +111,18 @@ def test_shared_item_edges_equal_pairs_of_sets(spark, least):
     assert G.shared_item_edges(rows.limit(0), least).count() == 0
 
 
+@pytest.mark.parametrize("common", [0, 6, 30])
+def test_shared_items_are_counted_in_cells_without_rows_of_candidates(spark, common, monkeypatch):
+    rnd = random.Random(5)
+    held = {k: {*range(common), *rnd.sample(range(30, 400), 25)} for k in range(60)} | {90: set(range(40)), 91: set(range(40))}
+    rows = spark.createDataFrame([(k, i) for k, items in held.items() for i in items], "key long, item int")
+    want = sorted((a, b) for a in held for b in held if a != b and len(held[a] & held[b]) >= 7)
+    monkeypatch.setattr(G, "CELL", 4)
+    edges = G.shared_item_edges(rows, 7)
+    assert sorted(map(tuple, edges.collect())) == want
+    assert "a < b" not in (plan := edges._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" not in plan
+
+
 def test_two_triangles_and_a_bridge(spark):
     e = _graph(spark, [(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (5, 6), (4, 6)])
     top = G.edge_betweenness(e).orderBy(F.desc("betweenness")).first()
