@@ -395,3 +395,51 @@ def test_long_lists_of_ratings_are_paired_by_slices(spark, monkeypatch):
     assert sorted(map(tuple, C.item_similarity(train).selectExpr("a", "b", "round(weight, 9)").collect())) == whole
     by = {u: {b: r for v, b, r in rows if v == u} for u in range(20)}
     assert [w[:2] for w in whole] == sorted({(a, b) for r in by.values() for a in r for b in r if a < b})
+
+
+def _with_twins(seed, n=14, p=0.2):
+    rng = random.Random(seed)
+    pairs = [(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < p]
+    copies = {v: [v + 100 * c for c in range(rng.choice((1, 1, 3)))] for v in range(n)}
+    return [(x, y) for a, b in pairs for x in copies[a] for y in copies[b]] + [(x, y) for c in copies.values() for x in c for y in c if x < y]
+
+
+def _plain_betweenness(adjacent):
+    total = {}
+    for root in adjacent:
+        level, paths, order = {root: 0}, {root: 1}, [root]
+        for v in order:
+            for w in adjacent[v]:
+                if w not in level:
+                    level[w], paths[w] = level[v] + 1, 0
+                    order.append(w)
+                if level[w] == level[v] + 1:
+                    paths[w] += paths[v]
+        credit = dict.fromkeys(order, 1.0)
+        for w in reversed(order):
+            for v in adjacent[w]:
+                if level[v] == level[w] - 1:
+                    credit[v] += (flow := credit[w] * paths[v] / paths[w])
+                    total[min(v, w), max(v, w)] = total.get((min(v, w), max(v, w)), 0.0) + flow / 2
+    return total
+
+
+def _neighbours(pairs):
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+        out.setdefault(b, set()).add(a)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_betweenness_of_a_held_graph_equals_plain_and_tables(spark, seed, monkeypatch):
+    pairs = _with_twins(seed)
+    want = {k: pytest.approx(x, abs=2e-5) for k, x in _plain_betweenness(_neighbours(pairs)).items()}
+    rows = lambda **k: {(r.a, r.b): r.betweenness for r in G.edge_betweenness(_graph(spark, pairs), **k).collect()}
+    monkeypatch.setattr(G, "bfs_levels", None)  # no table of all roots and vertices
+    assert rows() == want
+    compat = rows(compat=True)
+    monkeypatch.undo()
+    monkeypatch.setattr(G, "HELD_EDGES", 0)
+    assert rows(compat=True) == {k: pytest.approx(x, abs=2e-5) for k, x in compat.items()}
