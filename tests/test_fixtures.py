@@ -443,3 +443,34 @@ def test_betweenness_of_a_held_graph_equals_plain_and_tables(spark, seed, monkey
     monkeypatch.undo()
     monkeypatch.setattr(G, "HELD_EDGES", 0)
     assert rows(compat=True) == {k: pytest.approx(x, abs=2e-5) for k, x in compat.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_divisive_search_over_classes_equals_the_plain_one(spark, seed, monkeypatch):
+    pairs = _with_twins(seed)
+    whole, adjacent, m2 = _neighbours(pairs), _neighbours(pairs), 2 * len(pairs)
+
+    def parts():
+        left, out = set(adjacent), []
+        while left:
+            todo = [left.pop()]
+            for v in todo:
+                todo += (new := adjacent[v] & left)
+                left -= new
+            out.append(sorted(todo))
+        return sorted(out, key=lambda p: (len(p), p))
+
+    best, found = float("-inf"), parts()
+    while any(adjacent.values()):
+        between = _plain_betweenness(adjacent)
+        for (a, b), x in between.items():
+            if x > max(between.values()) - 1e-9:
+                adjacent[a].discard(b)
+                adjacent[b].discard(a)
+        q = sum(sum((j in whole[i]) - len(whole[i]) * len(whole[j]) / m2 for i in p for j in p if i != j) for p in parts()) / m2
+        if q > best + 1e-12:
+            best, found = q, parts()
+    asked, plain = [], G._betweenness
+    monkeypatch.setattr(G, "_betweenness", lambda adjacent, size, nodes: asked.append(len(nodes)) or plain(adjacent, size, nodes))
+    assert [r.members for r in G.girvan_newman(_graph(spark, pairs)).collect()] == [", ".join(f"'{v}'" for v in p) for p in found]
+    assert max(asked) < len(whole)  # copies count as one
