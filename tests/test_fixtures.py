@@ -474,3 +474,15 @@ def test_divisive_search_over_classes_equals_the_plain_one(spark, seed, monkeypa
     monkeypatch.setattr(G, "_betweenness", lambda adjacent, size, nodes: asked.append(len(nodes)) or plain(adjacent, size, nodes))
     assert [r.members for r in G.girvan_newman(_graph(spark, pairs)).collect()] == [", ".join(f"'{v}'" for v in p) for p in found]
     assert max(asked) < len(whole)  # copies count as one
+
+
+def test_predictions_write_the_training_rows_once_and_join_pairs_in_one_order(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(u, b, float(rng.randrange(1, 6))) for u in range(12) for b in rng.sample(range(9), 5)]
+    train = spark.createDataFrame(rows, "user_id long, business_id long, rating double")
+    wrote, plain = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, name: wrote.append(name) or plain(df, name))
+    got = C.predict(train, train.select("user_id", "business_id").where("business_id < 3"))
+    assert sorted(wrote) == ["ratings", "train"]
+    assert got.count() == len({(u, b) for u, b, _ in rows if b < 3})
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()  # similarities are not doubled
