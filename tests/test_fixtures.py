@@ -6,6 +6,7 @@ import json
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,8 +18,10 @@ from orebed.operators import recommend as C
 from orebed.operators import relational as R
 from orebed.operators import sketches as K
 from orebed.operators import stats as S
+from orebed.plans.registry import ORACLE_SQL, QUERIES
 from orebed.sources import readers, writers
 from tests.conftest import DATA
+from tests.parity import assert_same
 
 
 def one(spark, expr):
@@ -486,3 +489,72 @@ def test_predictions_write_the_training_rows_once_and_join_pairs_in_one_order(sp
     assert sorted(wrote) == ["ratings", "train"]
     assert got.count() == len({(u, b) for u, b, _ in rows if b < 3})
     assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()  # similarities are not doubled
+
+
+@pytest.fixture(scope="module")
+def copied_users(tmp_path_factory):
+    """A folder whose events are those of the smallest tables, each user's places held by three users; and DuckDB on it."""
+    to = tmp_path_factory.mktemp("copied")
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT event_id + 1000 * c AS event_id, ts, user_id + 15 * c AS user_id, event_type, value, props FROM '{DATA}/sf0.001/events.parquet', range(3) AS r(c)) TO '{to}/events.parquet'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{to}/events.parquet'")
+    return str(to), con
+
+
+class Counted:
+    """A function that counts its calls."""
+
+    def __init__(self, f):
+        self.f, self.calls = f, 0
+
+    def __call__(self, *args):
+        self.calls += 1
+        return self.f(*args)
+
+
+def _sparse_sets(seed):
+    rnd = random.Random(seed)
+    sets = [frozenset(rnd.sample(range(14), 5)) for _ in range(16)] + [frozenset(range(50, 55)), frozenset(range(60, 65))]
+    return [*sets * 2, *sets[:-1], frozenset(range(70, 75))], 3  # copies, a class without another, two lone keys
+
+
+def _classes_and_edges(spark, seed):
+    sets, least = _sparse_sets(seed)
+    rows = spark.createDataFrame([(k, i) for k, s in enumerate(sets) for i in s], "key long, item int")
+    pairs = sorted((a, b) for a in range(len(sets)) for b in range(len(sets)) if a != b and len(sets[a] & sets[b]) >= least)
+    return G.shared_item_classes(rows, least), pairs, rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("held", [1 << 21, 0])
+def test_levels_of_classes_equal_those_of_their_members(spark, seed, held, monkeypatch):
+    (links, members), pairs, rows = _classes_and_edges(spark, seed)
+    assert sorted(map(tuple, G.shared_item_edges(rows, 3).collect())) == pairs
+    assert links.count() * 4 <= len(pairs)  # copies are compared once
+    monkeypatch.setattr(G, "HELD_EDGES", held)
+    near, want = _neighbours(pairs), []
+    for root in near:
+        level, paths, order = {root: 0}, {root: 1}, [root]
+        for v in order:
+            for w in near[v]:
+                if w not in level:
+                    level[w], paths[w] = level[v] + 1, 0
+                    order.append(w)
+                if level[w] == level[v] + 1:
+                    paths[w] += paths[v]
+        want += [(root, v, level[v], paths[v]) for v in order]
+    assert sorted(map(tuple, G.bfs_levels(links, members).collect())) == sorted(want)
+    assert sorted(map(tuple, G.bfs_levels(spark.createDataFrame(pairs, "src long, dst long")).collect())) == sorted(want)
+
+
+def test_more_shortest_paths_than_a_long_are_an_error(spark):
+    pairs = [(a, b) for level in range(6) for a in (10 * level, 10 * level + 1) for b in (10 * level + 10, 10 * level + 11)]
+    members = spark.createDataFrame([(v, v, 10**4) for p in pairs for v in p], "id long, class long, n long").distinct()
+    with pytest.raises(Exception, match="more shortest paths"):
+        G.bfs_levels(_graph(spark, pairs), members).count()
+
+
+def test_levels_of_copied_users_agree_with_sql(spark, copied_users, monkeypatch):
+    monkeypatch.setattr(G, "_by_member", _counted := Counted(G._by_member))
+    assert_same(QUERIES["bfs_levels"](spark, copied_users[0]), copied_users[1], ORACLE_SQL["bfs_levels"])
+    assert _counted.calls == 1
