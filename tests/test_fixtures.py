@@ -558,3 +558,15 @@ def test_levels_of_copied_users_agree_with_sql(spark, copied_users, monkeypatch)
     monkeypatch.setattr(G, "_by_member", _counted := Counted(G._by_member))
     assert_same(QUERIES["bfs_levels"](spark, copied_users[0]), copied_users[1], ORACLE_SQL["bfs_levels"])
     assert _counted.calls == 1
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_classes_equal_those_of_their_members(spark, seed):
+    (links, members), pairs, _ = _classes_and_edges(spark, seed)
+    want = sorted(map(tuple, G.connected_components(spark.createDataFrame(pairs, "src long, dst long")).collect()))
+    assert sorted(map(tuple, G.connected_components(links, members).collect())) == want
+
+
+def test_components_of_copied_users_agree_with_sql_without_their_edges(spark, copied_users, monkeypatch):
+    monkeypatch.setattr(G, "_by_member", None)
+    assert_same(QUERIES["connected_components"](spark, copied_users[0]), copied_users[1], ORACLE_SQL["connected_components"])
