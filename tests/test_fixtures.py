@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -570,3 +571,20 @@ def test_components_of_classes_equal_those_of_their_members(spark, seed):
 def test_components_of_copied_users_agree_with_sql_without_their_edges(spark, copied_users, monkeypatch):
     monkeypatch.setattr(G, "_by_member", None)
     assert_same(QUERIES["connected_components"](spark, copied_users[0]), copied_users[1], ORACLE_SQL["connected_components"])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_labels_of_classes_equal_those_of_their_members(spark, seed, rounds):
+    (links, members), pairs, _ = _classes_and_edges(spark, seed)
+    near = _neighbours(pairs)
+    label = {v: v for v in near}
+    for _ in range(rounds):
+        counts = {v: Counter(label[w] for w in near[v]) for v in near}
+        label = {v: min(c, key=lambda x: (-c[x], x)) for v, c in counts.items()}
+    assert dict(map(tuple, G.label_propagation(links, rounds, members).collect())) == label
+
+
+def test_labels_of_copied_users_agree_with_sql_without_their_edges(spark, copied_users, monkeypatch):
+    monkeypatch.setattr(G, "_by_member", None)
+    assert_same(QUERIES["label_propagation"](spark, copied_users[0]), copied_users[1], ORACLE_SQL["label_propagation"])
