@@ -588,3 +588,16 @@ def test_labels_of_classes_equal_those_of_their_members(spark, seed, rounds):
 def test_labels_of_copied_users_agree_with_sql_without_their_edges(spark, copied_users, monkeypatch):
     monkeypatch.setattr(G, "_by_member", None)
     assert_same(QUERIES["label_propagation"](spark, copied_users[0]), copied_users[1], ORACLE_SQL["label_propagation"])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_modularity_of_classes_equals_that_of_their_members(spark, seed):
+    (links, members), pairs, _ = _classes_and_edges(spark, seed)
+    labels = spark.createDataFrame([(r.id, r.id % 4) for r in members.collect()], "id long, label long")
+    want = G.modularity(spark.createDataFrame(pairs, "src long, dst long"), labels).first()[0]
+    assert G.modularity(links, labels, members).first()[0] == pytest.approx(want, abs=2e-8)
+
+
+def test_modularity_of_copied_users_agrees_with_sql_without_their_edges(spark, copied_users, monkeypatch):
+    monkeypatch.setattr(G, "_by_member", None)
+    assert_same(QUERIES["modularity"](spark, copied_users[0]), copied_users[1], ORACLE_SQL["modularity"])
