@@ -133,6 +133,7 @@ def spectral(df: DataFrame, k: int, gamma: float = 1.0, neighbours: int = 10) ->
     """(id, v, label, cluster) by power iteration on Gaussian affinities of nearest neighbours."""
     near = nearest(df.select(F.col("id").alias("q"), "v"), df, neighbours + 1).where("q <> id")
     edges = near.select(F.least("q", "id").alias("src"), F.greatest("q", "id").alias("dst"), F.exp(-gamma * F.col("d") * F.col("d")).alias("weight")).distinct()
+    edges = materialize(edges, "affinities")  # read several times
     got = PowerIterationClustering(k=k, maxIter=20, weightCol="weight").assignClusters(edges)
     return df.join(got, "id").select("id", "v", "label", "cluster")
 

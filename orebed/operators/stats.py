@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +69,8 @@ def distance(a: Column, b: Column, metric: str = "euclidean", p: float = 3.0) ->
     return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g * g))
 
 
-#: Queries that are held against all points in one scan.
-QUERY_BLOCK = 1024
+#: Queries that are held against all points in one scan; queries and points that a task compares at once.
+QUERY_BLOCK, AT_ONCE = 1 << 14, (1024, 4096)
 
 
 def _distances(q: np.ndarray, v: np.ndarray, metric: str, p: float) -> np.ndarray:
@@ -88,42 +89,73 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _near(names: np.ndarray, q: np.ndarray, k: int, metric: str, p: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k nearest of a task's points to each query, exactly: others are ruled out by a bound that is never too low."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list = [None] * len(range(0, len(q), AT_ONCE[0]))
+        kind = None
+        for b in batches:
+            kind = b.column(2).type
+            for lo in range(0, b.num_rows if len(q) else 0, AT_ONCE[1]):
+                part = b.slice(lo, AT_ONCE[1])
+                ids, labels, v = part.column(0).to_numpy(zero_copy_only=False), np.array(part.column(2).to_pylist(), object), _matrix(part.column(1))
+                for n in range(len(best)):
+                    some = q[n * AT_ONCE[0] : (n + 1) * AT_ONCE[0]]
+                    at, d, i, label = best[n] or (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, object))
+                    bound = np.full(len(some), np.inf)  # the k-th distance so far
+                    full = np.flatnonzero(np.bincount(at, minlength=len(some)) == k)
+                    bound[full] = np.nan_to_num(d[np.searchsorted(at, full, side="right") - 1], nan=np.inf)
+                    if metric == "euclidean":
+                        a2, b2 = (some * some).sum(axis=1), (v * v).sum(axis=1)
+                        gap = a2[:, None] + b2 - 2 * (some @ v.T)
+                        off = 1e-12 * (np.nan_to_num(a2).max() + np.nan_to_num(b2).max()) + 1e-300  # more than the error of the sums
+                    else:
+                        gap, off = _distances(some, v, metric, p), 0.0
+                    if not np.isfinite(gap).all():
+                        gap = np.nan_to_num(gap, nan=np.inf, posinf=np.inf)
+                    limit = bound + 2e-6  # distances are compared as rounded to six places
+                    if metric == "euclidean":
+                        limit = limit**2 + off
+                    if len(full) < len(some) and len(v) >= k:
+                        kth = np.partition(gap, k - 1, axis=1)[:, k - 1]
+                        limit = np.minimum(limit, (np.sqrt(np.maximum(kth, 0) + off) + 2e-6) ** 2 + off if metric == "euclidean" else kth + 2e-6)
+                    x, y = np.nonzero(gap <= limit[:, None])
+                    if not len(x):
+                        continue
+                    new = np.sqrt(reduce(lambda s, j: s + (some[x, j] - v[y, j]) ** 2, range(q.shape[1]), np.zeros(len(x)))) if metric == "euclidean" else gap[x, y]
+                    at, d, i, label = np.r_[at, x], np.r_[d, np.round(new, 6)], np.r_[i, ids[y]], np.r_[label, labels[y]]
+                    order = np.lexsort((i, d, at))
+                    at, d, i, label = at[order], d[order], i[order], label[order]
+                    kept = np.arange(len(at)) - np.searchsorted(at, at) < k
+                    best[n] = at[kept], d[kept], i[kept], label[kept]
+        for n, found in enumerate(best):
+            if found:
+                yield pa.RecordBatch.from_pydict({"q": names[n * AT_ONCE[0] + found[0]], "id": found[2], "label": pa.array(found[3].tolist(), kind), "d": found[1]})
+
+    return scan
+
+
 def nearest(queries: DataFrame, points: DataFrame, k: int, metric: str = "euclidean", p: float = 3.0) -> DataFrame:
     """(q, id, label, d, rank) of the k nearest points (id, v, label) of each query (q, v); ties by id.
 
     The queries are a stated set. They are taken in blocks of a bounded size, the points scanned once a block:
     every task keeps the k nearest of each query that it has seen, so k rows a query and task are shuffled and no
-    pairs are formed. d is rounded to six places. No queries or no points give no rows.
+    pairs are formed. Euclidean distances are bounded by matrix products, and added up only where the bound leaves a
+    point in question. d is rounded to six places. No queries or no points give no rows.
     """
     if metric not in ("euclidean", "manhattan", "chebyshev", "minkowski"):
         raise ValueError(f"unknown metric {metric}")
-    points = points.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"), "label")
-    queries = materialize(queries.select("q", F.transform("v", lambda x: x.cast("double")).alias("v")), "queries")
+    points = materialize(points.select(F.col("id").cast("long"), F.transform("v", lambda x: x.cast("double")).alias("v"), "label"), "points")
+    queries = materialize(queries.select(F.col("q").cast("long"), F.transform("v", lambda x: x.cast("double")).alias("v")), "queries")
     blocks = -(-max(1, queries.count()) // (QUERY_BLOCK // 2))  # dealt by hash, half full on average
-    found = None
+    found, schema = None, f"q long, id long, label {points.schema['label'].dataType.simpleString()}, d double"
     for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).collect()
-        if not rows and block:
+        rows = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        if not len(rows) and block:
             continue
-        names, q = [r.q for r in rows], np.array([r.v for r in rows], np.float64).reshape(len(rows), len(rows[0].v) if rows else 0)
-
-        def scan(batches: Iterator[pa.RecordBatch], names: list = names, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
-            d, ids, labels, kind = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64), np.empty((len(q), 0), object), None
-            for b in batches:
-                kind = b.column(2).type
-                for lo in range(0, b.num_rows if len(q) else 0, 512):
-                    part = b.slice(lo, 512)
-                    new = part.column(0).to_numpy(zero_copy_only=False)
-                    d = np.concatenate((d, np.round(_distances(q, _matrix(part.column(1)), metric, p), 6)), axis=1)
-                    ids = np.concatenate((ids, np.broadcast_to(new, (len(q), len(new)))), axis=1)
-                    labels = np.concatenate((labels, np.broadcast_to(np.array(part.column(2).to_pylist(), object), (len(q), len(new)))), axis=1)
-                    best = np.lexsort((ids, d), axis=1)[:, :k]
-                    d, ids, labels = (np.take_along_axis(x, best, axis=1) for x in (d, ids, labels))
-            if d.size:
-                yield pa.RecordBatch.from_pydict({"q": pa.array([x for x in names for _ in range(d.shape[1])], pa.int64()), "id": pa.array(ids.ravel()), "label": pa.array(labels.ravel().tolist(), kind), "d": pa.array(d.ravel())})
-
-        schema = f"q long, id long, label {points.schema['label'].dataType.simpleString()}, d double"
-        part = points.select(F.col("id").cast("long"), "v", "label").mapInArrow(scan, schema)
+        names, q = rows.column("q").to_numpy(), _matrix(rows.column("v").combine_chunks()) if len(rows) else np.empty((0, 0))
+        part = points.mapInArrow(_near(names, q, k, metric, p), schema)
         found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -8,6 +8,7 @@ import random
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -601,3 +602,31 @@ def test_modularity_of_classes_equals_that_of_their_members(spark, seed):
 def test_modularity_of_copied_users_agrees_with_sql_without_their_edges(spark, copied_users, monkeypatch):
     monkeypatch.setattr(G, "_by_member", None)
     assert_same(QUERIES["modularity"](spark, copied_users[0]), copied_users[1], ORACLE_SQL["modularity"])
+
+
+def test_nearest_adds_up_few_distances_and_keeps_the_exact_order(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    v = np.round(rng.normal(size=(900, 6)) * rng.choice([1e-4, 1.0, 30.0], size=(900, 1)), 3)  # ties and copies among them
+    v[5], v[17, 2] = v[4], np.nan  # and a distance that is none
+    q = rng.choice(v, 300)
+    ids = rng.permutation(900)
+    batches = [pa.RecordBatch.from_pydict({"id": ids[n : n + 250], "v": pa.array(v[n : n + 250].tolist()), "label": pa.array([int(i) % 3 for i in ids[n : n + 250]])}) for n in range(0, 900, 250)]
+    monkeypatch.setattr(S, "AT_ONCE", (64, 128))
+    tables = {}
+    for metric in ("euclidean", "manhattan"):
+        tables[metric] = [r for b in S._near(np.arange(300), q, 7, metric, 3.0)(iter(batches)) for r in b.to_pylist()]
+        full = np.round(S._distances(q, v, metric, 3.0), 6)
+        want = [(a, ids[j], full[a, j]) for a in range(300) for j in np.lexsort((ids, full[a]))[:7]]
+        got = sorted(((r["q"], r["d"], r["id"]) for r in tables[metric]), key=lambda r: (r[0], np.nan_to_num(r[1], nan=np.inf), r[2]))
+        assert [(a, i) for a, _, i in got] == [(a, i) for a, i, _ in want]
+        np.testing.assert_array_equal([d for _, d, _ in got], [d for *_, d in want])
+        assert all(r["label"] == r["id"] % 3 for r in tables[metric])
+    added, plain = [], S.reduce
+    monkeypatch.setattr(S, "reduce", lambda f, xs, start: added.append(len(start)) or plain(f, xs, start))
+    monkeypatch.setattr(S, "AT_ONCE", (1024, 4096))
+    v = rng.normal(size=(900, 6))
+    one = pa.RecordBatch.from_pydict({"id": ids, "v": pa.array(v.tolist()), "label": pa.array([0] * 900)})
+    list(S._near(np.arange(300), v[:300], 7, "euclidean", 3.0)(iter([one])))
+    assert sum(added) < 300 * 8  # of 300 x 900
